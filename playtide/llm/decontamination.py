@@ -21,11 +21,11 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,10 +95,10 @@ def find_hits(words: list[bytes], index: dict[bytes, list]) -> tuple[list[tuple[
     return merged, found
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, index_words: int = INDEX_WORDS) -> DataFrame:
-    """``docs`` with n_words, hit_spans (array of [start, end) in words) and item_ids (sorted strings).
+def contamination(docs: DataFrame, items: DataFrame, carry: list[str], size: int = WINDOW, index_words: int = INDEX_WORDS) -> DataFrame:
+    """row (struct of the ``carry`` columns), n_words, hit_spans ([start, end) in words) and item_ids (sorted strings).
 
-    ``docs`` needs doc_id and text, ``items`` item_id and text.
+    ``docs`` needs text, ``items`` item_id and text.  Rows pass through unshuffled.
     """
     blocks: list[list[tuple]] = [[]]
     held = 0
@@ -108,29 +108,28 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, index_w
             blocks.append([])
             held = 0
         blocks[-1].append((r["item_id"], r["text"]))
-    out = docs.select("doc_id", "text", F.lit(None).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("hit_spans"), F.array().cast("array<string>").alias("item_ids"))
-    schema = "doc_id long, text string, n_words long, hit_spans array<struct<start:int,end:int>>, item_ids array<string>"
+    spans, names = "array<struct<start:int,end:int>>", "array<string>"
+    out = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(spans).alias("hit_spans"), F.array().cast(names).alias("item_ids"))
+    schema = out.schema
+    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for block in blocks:
         windows = item_windows(block, size)
         index = prefix_index(windows, word_document_counts(docs, {w for win in windows for w in win}) if windows else {})
 
-        def probe(batches: Iterator[pd.DataFrame], index: dict = index) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+        def probe(batches: Iterator[pa.RecordBatch], index: dict = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
                 n, spans, ids = [], [], []
-                for t, s0, i0 in zip(pdf["text"], pdf["hit_spans"], pdf["item_ids"], strict=True):
+                for t, s0, i0 in zip(batch["text"].to_pylist(), batch["hit_spans"].to_pylist(), batch["item_ids"].to_pylist(), strict=True):
                     words = words_of(t)
                     s, i = find_hits(words, index)
                     n.append(len(words))
                     spans.append([*({"start": a, "end": b} for a, b in s), *s0])
-                    ids.append(sorted({*(str(x) for x in i if x is not None and x == x), *i0}))
-                yield pdf.assign(n_words=n, hit_spans=spans, item_ids=ids)
+                    ids.append(sorted({*(str(x) for x in i if x is not None), *i0}))
+                columns = [batch["row"], batch["text"], pa.array(n, pa.int64()), pa.array(spans, span_type), pa.array(ids, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_words", "hit_spans", "item_ids"])
 
-        out = out.mapInPandas(probe, schema)
-    return out
-
-
-def _digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        out = out.mapInArrow(probe, schema)
+    return out.drop("text")
 
 
 def with_verdict(found: DataFrame) -> DataFrame:
@@ -141,10 +140,15 @@ def with_verdict(found: DataFrame) -> DataFrame:
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns."""
+    return with_verdict(contamination(docs, items, docs.columns)).where(~F.col("contaminated")).select("row.*")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    found = with_verdict(contamination(docs, items))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+    found = with_verdict(contamination(docs, items, ["doc_id"]))
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtide.llm import shingles as S
-from playtide.llm.common import components, materialize
+from playtide.llm.common import bounded, components, materialize
 
 SHINGLE, THRESHOLD = 5, 80
 ROWS, HALVES = 3, 10
@@ -188,6 +188,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, block: int = BLOCK) -> Da
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), cid).alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those whose near-duplicate group has a smaller doc_id."""
+    dropped = materialize(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(bounded(dropped), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4)
 

@@ -143,28 +143,35 @@ def select_cutoffs(good: DataFrame, stratum: str, rules: list[str], risk: float
     return best.select(stratum, "rule", "b.*")
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and the rules that reject, one row per row of ``docs``.
+def judged(docs: DataFrame, labels: DataFrame, carry: list[str], risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """row (struct of the ``carry`` columns), the counts, base_failed, kept and rejected_by, one row per row of ``docs``.
 
     ``docs`` needs doc_id, text and lang (the stratum); ``labels`` doc_id and quality.
-    The counts are written once (narrow rows), then read for the holdout and for the verdict.
+    The counts are written once with what is carried, then read for the holdout and
+    for the verdict; texts are never shuffled.
     """
-    counted = materialize(with_ratios(text_counts(docs.select("doc_id", "text", F.coalesce("lang", F.lit("und")).alias("stratum")))).withColumn("base_failed", base_failed()))
-    rated = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    good = counted.where(~F.col("base_failed")).join(rated, "doc_id", "left_semi")
+    rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col("doc_id").alias("id"), "text", F.coalesce("lang", F.lit("und")).alias("stratum"))
+    counted = materialize(with_ratios(text_counts(rows)).withColumn("base_failed", base_failed()))
+    rated = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("q")).where("q = 1")
+    good = counted.where(~F.col("base_failed")).select("id", "stratum", *RULES).join(rated, "id", "left_semi")
     chosen = select_cutoffs(good, "stratum", RULES, risk, delta)
     wide = materialize(chosen.groupBy("stratum").pivot("rule", RULES).agg(F.first("cutoff")).select(F.col("stratum").alias("s"), *[F.col(r).alias(f"c_{r}") for r in RULES]))
     joined = counted.join(bounded(wide), F.col("stratum") == F.col("s"), "left")
     hit = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"c_{r}"), F.lit(r)) for r in RULES]))
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size(hit) == 0)).alias("kept"), F.concat_ws(",", hit).alias("rejected_by"),
     )
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns."""
+    return judged(docs, labels, docs.columns).where("kept").select("row.*")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return apply_rules(docs, labels)
+    return judged(docs, labels, ["doc_id"]).select("row.doc_id", "*").drop("row")
 
 
 _GRID = ", ".join(f"({c})" for c in CUTOFFS)

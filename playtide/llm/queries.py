@@ -9,15 +9,19 @@ from playtide.llm.language_id import op1_language_id
 from playtide.llm.near_dedup import ORACLE_SQL as _NEAR_DEDUP_SQL
 from playtide.llm.near_dedup import op4_minhash_near_dedup
 from playtide.llm.packing import op8_packing
+from playtide.llm.pii import op2_pii
 from playtide.llm.quality_compression import op6_quality_compression
 from playtide.llm.quality_rules import ORACLE_SQL as _QUALITY_RULES_SQL
 from playtide.llm.quality_rules import op7_quality_rules
+from playtide.llm.secret_scan import op5_secret_scan
 from playtide.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
     "op3_decontamination": op3_decontamination,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_quality_compression": op6_quality_compression,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
