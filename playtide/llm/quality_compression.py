@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtide.llm.common import crc_fold
+from playtide.llm.common import bounded, crc_fold, materialize
 
 CHUNK, LEVEL = 2048, 3
 DICTIONARY = 64 << 10
@@ -78,16 +78,22 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Model from labelled rows outside the held-out fold: dictionaries (bad, good) and calibration knots."""
-    rated = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    rows = docs.where(crc_fold("doc_id") != 0).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= FIT_LONGEST).join(rated, "doc_id")
-    held = {r["q"]: (r["n"], r["b"]) for r in rows.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
+    rated = materialize(labels.where(F.col("quality").isNotNull() & (crc_fold("doc_id") != 0)).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q in (0, 1)"))
+    held = {r["q"]: r["n"] for r in rated.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not {0, 1} <= set(held):
         return {}
-    keep = F.lit(False)
-    for q in (0, 1):
-        share = min(1.0, FIT_ROWS / held[q][0], FIT_BYTES / max(held[q][1], 1))
-        keep = keep | ((F.col("q") == q) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1))
-    sample = rows.where(keep).select("q", "text", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)) == 0).alias("train")).toPandas()
+    # the sample is chosen by id alone; only its texts are fetched, next to a broadcast of the ids
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    share = {q: int(1e6 * min(1.0, FIT_ROWS / held[q])) + 1 for q in held}
+    chosen = materialize(rated.where(place < F.when(F.col("q") == 0, share[0]).otherwise(share[1])))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(bounded(chosen), "doc_id").where(F.octet_length("text") <= FIT_LONGEST)
+    rows = materialize(rows)
+    size = {r["q"]: r["b"] for r in rows.groupBy("q").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    part = {q: int(1e6 * min(1.0, FIT_BYTES / max(size.get(q, 0), 1))) + 1 for q in held}
+    fewer = F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1_000_000)) < F.when(F.col("q") == 0, part[0]).otherwise(part[1])
+    sample = rows.where(fewer).select("q", "text", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)) == 0).alias("train")).toPandas()
+    if set(sample["q"]) < {0, 1}:
+        return {}
     learn, rest = sample[sample["train"]], sample[~sample["train"]]
     if not len(rest) or set(learn["q"]) < {0, 1}:
         learn = rest = sample
@@ -103,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
 def _weights(y: np.ndarray, held: dict) -> np.ndarray:
     """Whole-number weights that give the classes of a sample the proportions of ``held``."""
-    ratio = {q: held[q][0] / max(1, int((y == q).sum())) for q in (0, 1)}
+    ratio = {q: held[q] / max(1, int((y == q).sum())) for q in (0, 1)}
     low = min(ratio.values())
     return np.array([max(1, round(ratio[int(v)] / low)) for v in y])
 
