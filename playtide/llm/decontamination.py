@@ -60,7 +60,8 @@ def word_document_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes,
             for t in pdf["text"]:
                 for w in vocabulary.intersection(words_of(t)):
                     seen[w] += 1
-        yield pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in seen], "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in seen], "n": list(seen.values())})
 
     rows = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {r["word"].encode("utf-8", "surrogatepass"): r["n"] for r in rows}

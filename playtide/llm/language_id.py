@@ -108,7 +108,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     weights = np.stack([np.log(share_of[bit > 0].mean(axis=0)) - np.log(share_of[bit < 0].mean(axis=0)) for bit in codes.T], axis=1).astype(np.float32)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filter(len, batches):
             yield pd.DataFrame({"k": [number[x] for x in pdf["lang"]], "m": [margins(t, weights).tolist() for t in pdf["text"]]})
 
     checked = sample.where("check").select("text", "lang").mapInPandas(measure, "k int, m array<double>").toPandas()
@@ -130,7 +130,7 @@ def predictions(docs: DataFrame, model: dict) -> DataFrame:
     langs = model["langs"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in filter(len, batches):
             n = len(pdf)
             pred, score, unsure = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
             at = [i for i, t in enumerate(pdf["text"]) if t and _LETTER.search(t)]
