@@ -11,7 +11,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = """timeline_runs timeline_logical_plays timeline_weekly_weighted stats_summary stats_monthly_trend stats_listening_heatmap leaderboard_track_by_plays chart_rows_album
 records_daily_binge_track records_longest_day_streak_artist records_no_repeat_streak records_fastest_milestone_track wrapped_monthly_leaders home_rediscovery chart_weekly_track chart_power_album
 chart_year_end_artist chart_change_track record_same_rank_track record_longest_to_no1_album record_blocker_king_artist record_artist_simul cohort_symmetric_window cohort_return_within_30
-returns_episodes search_bursts release_cycle_half_life import_signed_delta search_ranked_match search_inverted_index record_fingerprints stream_sessions stream_type_runs""".split()
+returns_episodes search_bursts release_cycle_half_life import_signed_delta search_ranked_match search_inverted_index record_fingerprints stream_sessions stream_type_runs
+entity_profile_track change_closure change_contribution_weeks cross_power_artist feed_no1_track feed_record_tied_album wrapped_album_completion wrapped_taste_drivers identity_components search_ngrams
+published_weekly_tracks""".split()
 
 
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
