@@ -1,7 +1,7 @@
 """Secret scans by character Markov models (DataFrame functions only).
 
-Fixed patterns give the base spans.  Beyond them, every long token is compared under
-first-order character models: three of random strings (lower-case hexadecimal, upper-
+Fixed patterns give the base spans.  Beyond them, every token of 16 characters or more,
+whatever its length, is compared (between dots, every part by itself) under first-order character models: three of random strings (lower-case hexadecimal, upper-
 case with digits, base 64) and one of ordinary identifiers and words.  A token whose
 best log-likelihood ratio exceeds ``MIN_RATIO`` in all and ``MIN_MEAN`` a character is
 a secret of kind ``random``; spans that touch a base span are left to it.
@@ -32,7 +32,7 @@ MARK = "[SECRET]"
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 #: Words of which code joins its identifiers.
 IDENTIFIER_WORDS = "get set is has new old user name file path size count index list map key value data type node tree item table column row start end first last next prev open close read write load save parse build create delete update insert select find search sort merge split join filter hash cache buffer stream event handler client server request response message error result status state config option default version module class method function test check value2 sha256 utf8 base64 http2 md5 int32 int64 float64".split()
 
