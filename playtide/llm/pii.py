@@ -2,10 +2,10 @@
 
 Fixed patterns give the base spans.  Wider generators propose further spans, which may
 overlap: spelled-out e-mail addresses, national phone formats, card numbers inside
-longer digit runs, dotted numbers.  Boosted trees score each candidate by its format
+longer rows of digit groups, dotted numbers.  Boosted trees score each candidate by its format
 and its context, and a threshold for each kind, calibrated on a held-out half of the
-training sample to a precision of ``PRECISION``, decides.  Of overlapping accepted
-candidates the best stays; base spans always stay and are never overlapped.
+training sample to a precision of ``PRECISION``, decides.  Accepted candidates
+are taken best first, and one that overlaps a taken one goes; base spans always stay and are never overlapped.
 
 The trees are fitted on the driver to ``FIT_ROWS`` labelled lines written by a seeded
 rule (formats of personal data, and look-alikes such as order numbers, versions, dates
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtide.llm.spans import count_of, find_spans, named, overlaps
+from playtide.llm.spans import SPAN, count_of, find_spans, named, overlaps
 
 KINDS = ["email", "ip", "card", "phone"]
 FIT_ROWS, TREES, RATE, PRECISION = 3000, 24, 0.3, 0.98
@@ -43,6 +43,8 @@ WIDE = [
     ("card", r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])|(?<![0-9])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![0-9])", r"[0-9]{4}"),
     ("phone", r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9A-Za-z])", r"[0-9]{3}"),
 ]
+#: Characters behind a match that a later start may need; the longest match, an e-mail address, has 413.
+REACH = 420
 #: Words near personal data, by kind.
 CONTEXT = {
     "email": "mail|contact|write|reach|e-mail|address",
@@ -79,8 +81,33 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Spans that the generators propose, overlapping ones included."""
-    return F.concat(*[find_spans(text, p, k, KINDS.index(k), text.rlike(t)) for k, p, t in WIDE])
+    """Spans that the generators propose, overlapping ones included.
+
+    Every start is tried: those inside a match by themselves, so a false start hides nothing.
+    """
+    out = []
+    for k, p, t in WIDE:
+        rank = KINDS.index(k)
+        first = find_spans(text, p, k, rank, text.rlike(t))
+        out += [first, _inner(text, p, k, rank, first)]
+    return F.array_distinct(F.concat(*out))
+
+
+def _inner(text: Column, pattern: str, kind: str, rank: int, found: Column) -> Column:
+    """Matches of ``pattern`` that start inside a match of ``found``, from every start."""
+
+    def starts(s: Column) -> Column:
+        # each start is seen with the character before it, for the lookbehind
+        room = F.substring(text, s["start"] + 1, (s["end"] - s["start"]) + REACH)
+
+        def at(i: Column) -> Column:
+            hit = F.regexp_extract(F.substring(room, i, F.length(room)), rf"^(?s:.)({pattern})", 1)
+            begin = s["start"] + i
+            return F.struct(begin.cast("int").alias("start"), F.lit(rank).alias("rank"), (begin + F.length(hit)).cast("int").alias("end"), F.lit(kind).alias("kind"), hit.alias("match"))
+
+        return F.filter(F.transform(F.sequence(F.lit(1), F.length(s["match"]) - 1), at), lambda x: x["match"] != "")
+
+    return F.flatten(F.transform(found, starts)).cast(SPAN)
 
 
 def features(text: Column, s: Column) -> Column:
@@ -228,8 +255,9 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
         "wide",
         F.filter(F.transform("wide", lambda s, i: F.struct(F.get("p", i).alias("p"), s.alias("s"))), lambda w: w["p"] >= cut(w["s"])),
     )
-    beaten = lambda w: F.exists("wide", lambda v: overlaps(v["s"], w["s"]) & ((v["p"] > w["p"]) | ((v["p"] == w["p"]) & (F.struct(v["s"]["start"], v["s"]["rank"]) < F.struct(w["s"]["start"], w["s"]["rank"])))))
-    added = F.transform(F.filter("wide", lambda w: ~beaten(w)), lambda w: w["s"])
+    # best first; only spans that stay drop others
+    best = F.array_sort("wide", lambda v, w: F.when(v["p"] > w["p"], -1).when(v["p"] < w["p"], 1).when(F.struct(v["s"]["start"], v["s"]["rank"], v["s"]["end"]) < F.struct(w["s"]["start"], w["s"]["rank"], w["s"]["end"]), -1).otherwise(1))
+    added = F.aggregate(best, F.array().cast(SPAN), lambda kept, w: F.when(F.exists(kept, lambda v: overlaps(v, w["s"])), kept).otherwise(F.concat(kept, F.array(w["s"]))))
     return accepted.select("doc_id", "text", "base", F.sort_array(F.concat("base", added)).alias("found"))
 
 
