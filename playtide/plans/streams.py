@@ -9,18 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtide.plans.base import query
+from playtide.sources.publish import shared_dir
 from playtide.streaming import plays as P
 
+#: All files in one trigger: the watermark then drops no row, whatever order the files are in.
+ALL_FILES = 2**31 - 1
+
 
 def drained(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """All rows of the stream over the events table, read once in one available-now run.
 
-    The path is a pattern, so that a single file and a folder of files both stream.
+    The path is a pattern, so that a single file and a folder of files both stream.  Every
+    batch is written as Parquet in the shared folder, with the checkpoint, and the table
+    is read from there; no row passes through the driver.
     """
-    name = f"stream_{uuid.uuid4().hex}"
-    running = build(P.event_stream(spark, f"{sf_dir}/[e]vents.parquet")).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    rows = build(P.event_stream(spark, f"{sf_dir}/[e]vents.parquet", ALL_FILES))
+    batches: set[int] = set()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        batches.add(number)
+
+    running = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name)
+    if not batches:
+        return spark.createDataFrame([], rows.schema)
+    # in complete mode the last batch holds the whole table
+    wanted = [max(batches)] if mode == "complete" else sorted(batches)
+    return spark.read.schema(rows.schema).parquet(*(f"{folder}/rows/{n}" for n in wanted))
 
 
 @query("stream_deduplicated", "select event_id, user_id, event_type from events")
