@@ -1,28 +1,32 @@
 """Packing documents into fixed sequences by cutting-stock column generation.
 
-A document (its token ids and an end id) is cut into full pieces of ``CAPACITY``, a
-piece that is a multiple of ``GRAIN`` and a rest below it.  Only the histogram of piece
-lengths, ``CAPACITY / GRAIN + GRAIN`` numbers, reaches the driver: that keeps the
-program small, and rests close what multiples leave open.  A linear program over patterns (multisets of lengths that fit
-one sequence) covers the histogram with the fewest sequences; new patterns are priced
-by the knapsack dynamic program over the dual prices until the bound shows a gap
-below ``GAP``.  Pattern counts are rounded down; what that leaves, fewer pieces than
+A document (its token ids and an end id) is cut into full pieces of ``CAPACITY`` and
+one rest below it, which stays whole.  Only the histogram of piece lengths, at most
+``CAPACITY`` numbers, reaches the driver.  A linear program over patterns (multisets of
+lengths that fit one sequence) covers the histogram with the fewest sequences.  Its
+first basis comes from pricing the lengths by size: a pattern runs until one of its
+lengths is used up, so the basis is triangular and feasible.  New patterns are priced by
+the knapsack dynamic program over the dual prices until the bound (by the duals, or by
+the total length) shows a gap below ``GAP``; if ``MAX_COLUMNS`` ends it before, a warning
+states the gap.  Pattern counts are rounded down; what that leaves, fewer pieces than
 basis patterns hold, is packed best-fit decreasing into patterns used once.
 
-The pieces are then ranked within their length (salted, no task holds a length), and
-a piece's rank names its pattern, the pattern's instance and the offset there: no
-piece list is gathered anywhere.
+The pieces are then ranked within their length (salted by the count of the length, so
+no task ranks more than about ``RANKED`` rows), and a piece's rank names its pattern,
+the pattern's instance and the offset there: no piece list is gathered anywhere.
 
 A sequence is padded to ``CAPACITY`` unless its length is a power of two.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed
 once each; a null doc_id is kept; empty tables give an empty result; further columns
-are ignored.
+are ignored.  Texts whose white space is too long for the fast encoder's regular
+expression are encoded by ``tokenizers`` itself.
 """
 
 from __future__ import annotations
 
 import base64
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,10 +39,9 @@ from pyspark.sql import functions as F
 from playtide.llm.common import materialize, ranked
 
 CAPACITY, END_ID = 1024, 0
-#: Lengths below the capacity are multiples of this or smaller.
-GRAIN = 32
 GAP, MAX_COLUMNS = 0.0005, 3000
-SALTS = 64
+#: Rows of one length that a task ranks.
+RANKED = 100_000
 TOKENIZER = "byte_bpe_50k"
 #: The one string that the vocabulary's own file treats as a single id.
 SPECIAL = "<|endoftext|>"
@@ -47,8 +50,9 @@ SPECIAL = "<|endoftext|>"
 def encoder(name: str = TOKENIZER):
     """text -> uint32 ids as ``tokenizers`` gives them for ``<name>.json``, without special tokens added.
 
-    The same ranks run in ``tiktoken``, several times faster; a text that spells
-    the special token goes through ``tokenizers`` itself.
+    The same ranks run in ``tiktoken``, several times faster; a text that spells the
+    special token, or whose white space overruns tiktoken's stack, goes through
+    ``tokenizers``.
     """
     import public_tokenizers
     import tiktoken
@@ -58,23 +62,28 @@ def encoder(name: str = TOKENIZER):
     fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     whole = []
 
+    def slow(text: str) -> np.ndarray:
+        if not whole:
+            from tokenizers import Tokenizer
+
+            whole.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
+        return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text:
-            if not whole:
-                from tokenizers import Tokenizer
-
-                whole.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
-            return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, disallowed_special=())
+            return slow(text)
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # "Max stack size exceeded for backtracking"
+            return slow(text)
 
     return encode
 
 
-def cut(ids: np.ndarray, capacity: int = CAPACITY, grain: int = GRAIN) -> list[tuple[int, int, int]]:
+def cut(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
     """(start, length, crc32 of the little-endian ids) of the pieces of one document."""
     raw = np.ascontiguousarray(ids, "<u4")
-    ends = [*range(capacity, len(raw) + 1, capacity), len(raw) // grain * grain, len(raw)]
-    return [(s, e - s, zlib.crc32(raw[s:e].tobytes())) for s, e in zip([0, *ends], ends, strict=False) if e > s]
+    return [(s, len(raw[s : s + capacity]), zlib.crc32(raw[s : s + capacity].tobytes())) for s in range(0, len(raw), capacity)]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -112,6 +121,28 @@ def price(sizes: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[float, n
     return float(best[capacity]), pattern
 
 
+def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Basis (columns) and its values: patterns priced by size, each run until a length of it is used up.
+
+    A length leaves the program with the pattern that used it up, so in that order the
+    matrix is triangular; large lengths are priced a little higher and go first.
+    """
+    n = len(sizes)
+    basis, x, left = np.zeros((n, n)), np.zeros(n), demand.copy()
+    live = np.arange(n)
+    while len(live):
+        _, part = price(sizes[live], (sizes[live] / capacity) ** 1.05, capacity)
+        column = np.zeros(n)
+        column[live] = part
+        used = live[part > 0]
+        times = left[used] / column[used]
+        out = int(used[times.argmin()])
+        basis[:, out], x[out] = column, times.min()
+        left -= column * times.min()
+        live = live[live != out]
+    return basis, x
+
+
 def patterns_for(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, max_columns: int = MAX_COLUMNS) -> list[tuple[dict[int, int], int]]:
     """(pattern, times) with every piece of ``histogram`` (length -> count) in exactly one place."""
     sizes = np.array(sorted(s for s, n in histogram.items() if n and s < capacity), int)
@@ -120,13 +151,16 @@ def patterns_for(histogram: dict[int, int], capacity: int = CAPACITY, gap: float
     if not len(sizes):
         return out
     demand = np.array([histogram[int(s)] for s in sizes], float)
-    # basis of single-length patterns; columns of the basis, its inverse and the values
-    many = capacity // sizes
-    basis, inverse, x = np.diag(many.astype(float)), np.diag(1.0 / many), demand / many
+    basis, x = first_basis(sizes, demand, capacity)
+    inverse, bound = None, float(sizes @ demand) / capacity
     for _ in range(max_columns):
-        duals = inverse.sum(axis=0)
+        if x.sum() <= (1 + gap) * bound:
+            break
+        inverse = np.linalg.inv(basis) if inverse is None else inverse
+        duals = np.maximum(inverse.sum(axis=0), 0)
         value, column = price(sizes, duals, capacity)
-        if value <= 1 + 1e-9 or x.sum() <= (1 + gap) * (duals @ demand) / value:
+        bound = max(bound, float(duals @ demand) / value)
+        if value <= 1 + 1e-9 or x.sum() <= (1 + gap) * bound:
             break
         d = inverse @ column
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -140,6 +174,8 @@ def patterns_for(histogram: dict[int, int], capacity: int = CAPACITY, gap: float
         row = inverse[leave] / d[leave]
         inverse -= np.outer(d, row)
         inverse[leave] = row
+    else:
+        warnings.warn(f"column generation ended after {max_columns} columns with a gap of {x.sum() / bound - 1:.4f}", stacklevel=2)
     times = np.floor(x + 1e-9).astype(int)
     left = demand.astype(int) - (basis @ times).astype(int)
     for k in np.flatnonzero(left < 0):  # rounding of the values: give back whole patterns
@@ -156,24 +192,25 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[dict[int, int]]:
     """The largest length opens a sequence; a subset-sum fill from what is left closes it as full as it can be."""
     out = []
     left = dict(left)
+    order = sorted(left, reverse=True)
     while left:
-        top = max(left)
-        used = Counter({top: 1})
-        # reach[c]: last length used to fill exactly c, each length at most as often as it is left
-        room, reach = capacity - top, {0: ()}
-        for s in sorted(left, reverse=True):
-            n = left[s] - used[s]
-            if s > room or n <= 0:
-                continue
-            for c in sorted(reach, reverse=True):
-                for k in range(1, min(n, (room - c) // s) + 1):
-                    reach.setdefault(c + k * s, (c, s, k))
-            if room in reach:
+        order = [s for s in order if s in left]
+        used = Counter({order[0]: 1})
+        # bit c of a mask: some of the lengths so far, each at most as often as it is left, add up to c
+        room = capacity - order[0]
+        masks: list[tuple[int, int]] = [(0, 1)]
+        for s in order:
+            for _ in range(min(left[s] - used[s], room // s)):
+                masks.append((s, masks[-1][1] | masks[-1][1] << s & (1 << room + 1) - 1))
+                if masks[-1][1] >> room:
+                    break
+            if masks[-1][1] >> room:
                 break
-        c = max(reach)
-        while c:
-            c, s, k = reach[c]
-            used[s] += k
+        c = masks[-1][1].bit_length() - 1
+        for (s, _), (_, before) in zip(masks[:0:-1], masks[-2::-1], strict=True):
+            if not before >> c & 1:
+                used[s] += 1
+                c -= s
         out.append(dict(used))
         for s, k in used.items():
             left[s] -= k
@@ -201,7 +238,8 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut_pieces`` (a materialised table) with sequence_id and offset."""
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = _places(patterns_for(histogram, capacity))
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")
+    salts = [0] + [-(-histogram.get(n, 0) // RANKED) for n in range(1, capacity + 1)]
+    salt = F.pmod(F.xxhash64("doc_id", "start"), F.greatest(F.get(F.lit(salts), F.col("length").cast("int")), F.lit(1))).cast("int")
     numbered = ranked(cut_pieces, ["length"], ["doc_id", "start"], salt, "rank")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
