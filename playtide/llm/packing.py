@@ -121,15 +121,15 @@ def price(sizes: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[float, n
     return float(best[capacity]), pattern
 
 
-def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Basis (columns) and its values: patterns priced by size, each run until a length of it is used up.
+def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Basis (columns), its values and the order in which lengths leave: patterns priced by size, each run until a length of it is used up.
 
     A length leaves the program with the pattern that used it up, so in that order the
     matrix is triangular; large lengths are priced a little higher and go first.
     """
     n = len(sizes)
     basis, x, left = np.zeros((n, n)), np.zeros(n), demand.copy()
-    live = np.arange(n)
+    live, order = np.arange(n), []
     while len(live):
         _, part = price(sizes[live], (sizes[live] / capacity) ** 1.05, capacity)
         column = np.zeros(n)
@@ -140,7 +140,19 @@ def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[n
         basis[:, out], x[out] = column, times.min()
         left -= column * times.min()
         live = live[live != out]
-    return basis, x
+        order.append(out)
+    return basis, x, order
+
+
+def _inverse(basis: np.ndarray, order: list[int]) -> np.ndarray:
+    """By substitution along ``order``; no BLAS, whose threads can hang in a process that has forked."""
+    out = np.zeros_like(basis)
+    for r in order:
+        others = np.flatnonzero(basis[r])
+        others = others[others != r]
+        out[r, r] = 1.0
+        out[r] = (out[r] - (basis[r, others][:, None] * out[others]).sum(axis=0)) / basis[r, r]
+    return out
 
 
 def patterns_for(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, max_columns: int = MAX_COLUMNS) -> list[tuple[dict[int, int], int]]:
@@ -151,18 +163,19 @@ def patterns_for(histogram: dict[int, int], capacity: int = CAPACITY, gap: float
     if not len(sizes):
         return out
     demand = np.array([histogram[int(s)] for s in sizes], float)
-    basis, x = first_basis(sizes, demand, capacity)
-    inverse, bound = None, float(sizes @ demand) / capacity
+    basis, x, order = first_basis(sizes, demand, capacity)
+    inverse, bound = None, float((sizes * demand).sum()) / capacity
     for _ in range(max_columns):
         if x.sum() <= (1 + gap) * bound:
             break
-        inverse = np.linalg.inv(basis) if inverse is None else inverse
+        inverse = _inverse(basis, order) if inverse is None else inverse
         duals = np.maximum(inverse.sum(axis=0), 0)
         value, column = price(sizes, duals, capacity)
-        bound = max(bound, float(duals @ demand) / value)
+        bound = max(bound, float((duals * demand).sum()) / value)
         if value <= 1 + 1e-9 or x.sum() <= (1 + gap) * bound:
             break
-        d = inverse @ column
+        held = np.flatnonzero(column)
+        d = (inverse[:, held] * column[held]).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(d > 1e-9, x / d, np.inf)
         leave = int(ratio.argmin())
@@ -177,7 +190,7 @@ def patterns_for(histogram: dict[int, int], capacity: int = CAPACITY, gap: float
     else:
         warnings.warn(f"column generation ended after {max_columns} columns with a gap of {x.sum() / bound - 1:.4f}", stacklevel=2)
     times = np.floor(x + 1e-9).astype(int)
-    left = demand.astype(int) - (basis @ times).astype(int)
+    left = demand.astype(int) - (basis * times).sum(axis=1).round().astype(int)
     for k in np.flatnonzero(left < 0):  # rounding of the values: give back whole patterns
         for p in np.flatnonzero(basis[k] > 0):
             while left[k] < 0 and times[p] > 0:
