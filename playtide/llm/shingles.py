@@ -66,3 +66,14 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(width):
         out = mix(out * _U(0x100000001B3) + words[j : j + n - width + 1])
     return out
+
+
+def run_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` values in order, each by a difference of prefix sums."""
+    n = len(values)
+    if n < k:
+        return values[:0]
+    power, inverse = _power_tables(n + 1)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(mix(values) * power[:n], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
