@@ -5,8 +5,8 @@ in two collections.  A table key is a pair (half key of the first collection, ha
 key of the second), so ``HALVES**2`` tables cost ``2 * HALVES * ROWS`` minhashes
 instead of ``2 * ROWS * HALVES**2``.  A half key that no other set shares can be in no
 shared table key, so only shared half keys are paired up.  At a similarity of 0.8 a
-pair shares a table key with probability 0.998, at 0.85 with 0.9999; a set in a group
-needs only one found link.
+pair shares a table key with probability 0.999, at 0.5 with 0.22, at 0.3 with 0.002, so
+texts of one template seldom meet; a set in a group needs only one found link.
 
 From the tables to links, without emitting the pairs of a group:
 
@@ -40,7 +40,9 @@ from playtide.llm import shingles as S
 from playtide.llm.common import bounded, components, materialize
 
 SHINGLE, THRESHOLD = 5, 80
-ROWS, HALVES = 3, 10
+ROWS, HALVES = 5, 20
+#: Up to so many ids of candidates are broadcast, so that the texts of all others are not shuffled.
+INVOLVED_ROWS = 500_000
 #: Members compared in one task at most: two blocks of this size.
 BLOCK = 128
 
@@ -170,7 +172,7 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int = SHINGLE, block:
             yield pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
         yield pd.DataFrame(close(), columns=["src", "dst"], dtype="int64")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(bounded(members.select("node"), INVOLVED_ROWS), "node", "left_semi")
     return texts.join(tasks, "node").repartition("gid").sortWithinPartitions("gid").mapInPandas(run, "src long, dst long")
 
 
