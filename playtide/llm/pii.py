@@ -2,7 +2,9 @@
 
 Fixed patterns give the base spans.  Wider generators propose further spans, which may
 overlap: spelled-out e-mail addresses, national phone formats, card numbers inside
-longer rows of digit groups, dotted numbers.  Boosted trees score each candidate by its format
+longer rows of digit groups, dotted numbers.  They propose local parts of up to 64 characters, up to five labels of up to
+63, and cards of 16 (by fours) or 15 digits (4-6-5); other forms are left to the base
+patterns.  Boosted trees score each candidate by its format
 and its context, and a threshold for each kind, calibrated on a held-out half of the
 training sample to a precision of ``PRECISION``, decides.  Accepted candidates
 are taken best first, and one that overlaps a taken one goes; base spans always stay and are never overlapped.

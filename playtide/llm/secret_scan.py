@@ -1,14 +1,19 @@
 """Secret scans by character Markov models (DataFrame functions only).
 
 Fixed patterns give the base spans.  Beyond them, every token of 16 characters or more,
-whatever its length, is compared (between dots, every part by itself) under first-order character models: three of random strings (lower-case hexadecimal, upper-
-case with digits, base 64) and one of ordinary identifiers and words.  A token whose
-best log-likelihood ratio exceeds ``MIN_RATIO`` in all and ``MIN_MEAN`` a character is
-a secret of kind ``random``; spans that touch a base span are left to it.
+whatever its length and characters, is compared (between dots, every part by itself)
+under first-order character models: four of random strings (lower-case hexadecimal,
+upper-case with digits, base 64, lower-case letters) and one of ordinary identifiers and
+words.  A token whose best log-likelihood ratio exceeds ``MIN_RATIO`` in all and the
+model's cutoff a character is a secret of kind ``random``; spans that touch a base span
+are left to it.  The cutoff is the lowest of at least ``MIN_MEAN`` that accepts no more
+than ``FALSE_SHARE`` of the ordinary tokens of the other half of the samples; what it finds of
+the random ones there is reported as ``recall``.
 
 The models are trained from labelled samples: random strings drawn by hashing
 (``FIT_RANDOM`` of each alphabet) and ordinary tokens, which are the words of about
-``FIT_DOCS`` documents chosen by a hash of the id, and fixed identifiers.  Only the
+``FIT_DOCS`` documents chosen by a hash of the id, fixed identifiers, numbers, dates,
+rules and one-letter paths.  Only the
 bigram counts, at most the square of the alphabet for each model, reach the driver.
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated rows;
@@ -27,8 +32,9 @@ from playtide.llm.spans import SPAN, count_of, find_spans, named, overlaps, reda
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIZE = len(ALPHABET) + 1
 FIT_RANDOM, FIT_DOCS = 2000, 2000
-MIN_RATIO, MIN_MEAN = 16.0, 0.8
+MIN_RATIO, MIN_MEAN, FALSE_SHARE = 16.0, 0.8, 0.0005
 MARK = "[SECRET]"
+MODELS = ["hex", "upper", "base64", "lower"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -67,6 +73,7 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
         .union(seed.select(F.lit("upper"), F.translate(F.upper(raw), "+/=", "")))
         .union(seed.select(F.lit("base64"), raw))
         .union(seed.select(F.lit("base64"), F.translate(raw, "+/=", "-_")))
+        .union(seed.select(F.lit("lower"), F.translate(F.lower(raw), "0123456789+/=", "")))
     )
     total = max(1, docs.count())
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, FIT_DOCS / total)) + 1)
@@ -74,12 +81,22 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     names = IDENTIFIER_WORDS
     joined = [f"{a}_{b}" for a in names for b in names] + [a + b.capitalize() for a in names for b in names] + [f"{a}.{b}-{a}" for a in names for b in names]
     fixed = spark.createDataFrame([(x,) for x in joined], "token string")
-    return random.union(words.union(fixed).select(F.lit("ordinary"), "token"))
+    # numbers, dates, rules and one-letter paths: unlike words, and no secrets
+    number = F.substring(F.regexp_replace("h", "[a-f]", ""), 1, 20)
+    date = F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.conv(F.substring("h", 1, 3), 16, 10).cast("int") * 4), "yyyy-MM-dd")
+    rule = F.repeat(F.substring(F.lit("-=_.+/"), F.pmod(F.xxhash64("h"), F.lit(6)).cast("int") + 1, F.lit(1)), F.lit(16) + F.pmod(F.xxhash64("h", F.lit("n")), F.lit(64)).cast("int"))
+    path = F.concat_ws("/", F.split(F.substring(F.translate("h", "0123456789", "ghijklmnop"), 1, 12), ""))
+    plain = seed.select(F.explode(F.array(number, F.concat(date, F.lit("-"), F.reverse(date)), F.concat_ws("-", date, date), rule, path)).alias("token"))
+    return random.union(words.union(fixed).union(plain).select(F.lit("ordinary"), "token"))
 
 
-def train(docs: DataFrame) -> dict[str, list[float]]:
-    """Log-likelihood ratio by bigram of each random model against ordinary text."""
-    counts = bigram_counts(labelled_samples(docs))
+def train(docs: DataFrame) -> dict:
+    """tables (log-likelihood ratio by bigram of each random model against ordinary text), cut, recall.
+
+    Bigrams are counted in one half of the samples, by a hash of the token; the other half sets the cutoff.
+    """
+    samples = labelled_samples(docs).withColumn("half", F.pmod(F.xxhash64("token"), F.lit(2)))
+    counts = bigram_counts(samples.where("half = 0"))
 
     def logs(model: str, alpha: float) -> list[list[float]]:
         c = counts.get(model, {})
@@ -90,7 +107,19 @@ def train(docs: DataFrame) -> dict[str, list[float]]:
         return rows
 
     plain = logs("ordinary", 0.5)
-    return {m: [round(x - y, 2) for r, s in zip(logs(m, 0.05), plain, strict=True) for x, y in zip(r, s, strict=True)] for m in ("hex", "upper", "base64")}
+    tables = {m: [round(x - y, 2) for r, s in zip(logs(m, 0.05), plain, strict=True) for x, y in zip(r, s, strict=True)] for m in MODELS}
+    # tokens as the scan cuts them; only counts by score step reach the driver
+    tried = samples.where("half = 1").select((F.col("model") == "ordinary").alias("plain"), F.explode(F.split("token", r"\.")).alias("token")).where(F.length("token") >= 16)
+    mean = F.floor(best_ratio(F.col("token"), tables) / F.length("token") * 100).cast("int")
+    steps = tried.groupBy("plain", mean.alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()
+    above = lambda plain, cut: sum(r["n"] for r in steps if r["plain"] == plain and r["m"] >= cut)
+    total = {p: max(1, above(p, -(10**9))) for p in (True, False)}
+    cut = next(c for c in range(round(100 * MIN_MEAN), 10**6) if above(True, c) <= FALSE_SHARE * total[True])
+    return {"tables": tables, "cut": cut / 100, "recall": above(False, cut) / total[False]}
+
+
+def best_ratio(token: Column, tables: dict[str, list[float]]) -> Column:
+    return F.greatest(*[ratio(token, t) for t in tables.values()])
 
 
 def ratio(token: Column, table: list[float]) -> Column:
@@ -106,21 +135,20 @@ def ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(F.split(token, ""), start, step, lambda acc: acc["sum"])
 
 
-def scan(docs: DataFrame, model: dict[str, list[float]]) -> DataFrame:
+def scan(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, text, base and found: spans of the patterns, and all spans with those of the models."""
     body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     based = body.withColumn("base", base_spans(F.col("text")))
-    token = find_spans(F.col("text"), TOKEN, "random", 3, F.col("text").rlike("[A-Za-z0-9+/_=-]{16}"), lambda m: m.rlike("[0-9]|[a-z][A-Z]") & m.rlike("[A-Za-z]"))
+    token = find_spans(F.col("text"), TOKEN, "random", 3, F.col("text").rlike("[A-Za-z0-9+/_=-]{16}"))
     free = based.withColumn("tokens", F.filter(token, lambda s: ~F.exists("base", lambda b: overlaps(s, b))))
-    best = lambda m: F.greatest(*[ratio(m, t) for t in model.values()])
-    scored = free.withColumn("scores", F.transform("tokens", lambda s: best(s["match"])))
+    scored = free.withColumn("scores", F.transform("tokens", lambda s: best_ratio(s["match"], model["tables"])))
     good = F.filter(
-        F.transform("tokens", lambda s, i: F.when((F.get("scores", i) >= MIN_RATIO) & (F.get("scores", i) >= MIN_MEAN * F.length(s["match"])), s)), lambda s: s.isNotNull()
+        F.transform("tokens", lambda s, i: F.when((F.get("scores", i) >= MIN_RATIO) & (F.get("scores", i) >= model["cut"] * F.length(s["match"])), s)), lambda s: s.isNotNull()
     )
     return scored.select("doc_id", "text", "base", F.sort_array(F.concat("base", good)).cast(SPAN).alias("found"))
 
 
-def redact_secrets(docs: DataFrame, model: dict[str, list[float]] | None = None) -> DataFrame:
+def redact_secrets(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """``docs`` with every secret of the text replaced by ``MARK``; null texts stay null."""
     model = train(docs) if model is None else model
     others = [c for c in docs.columns if c != "text"]

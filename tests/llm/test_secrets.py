@@ -22,3 +22,13 @@ def test_long_keys_and_parts_behind_dots(spark, tiny_docs):
     assert found == {1: [key], 2: jwt, 3: mail, 4: []}
     clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs, model).collect()}
     assert clean[1] == "begin [SECRET] end" and clean[3] == "use SG.[SECRET].[SECRET] now"
+
+
+def test_cutoff_on_the_other_half(spark, tiny_docs):
+    """Most random strings of every alphabet are found, none of the ordinary tokens."""
+    model = secret_scan.train(tiny_docs)
+    assert model["cut"] >= secret_scan.MIN_MEAN and model["recall"] >= 0.95
+    lower = "".join(c for c in random_text(200, "low").lower() if c.isalpha())[:40]
+    ordinary = ["getUserNameFilePath_index_value", "characteristically-internationalised", "=" * 40, "-" * 80, "a/b/c/d/e/f/g/h/i/j", "2024-01-01-2024-12-31", "1234567890123456"]
+    docs = spark.createDataFrame([(1, f"x {lower} y"), (2, " ; ".join(ordinary))], "doc_id long, text string")
+    assert {r.doc_id: [s.match for s in r.found] for r in secret_scan.scan(docs, model).collect()} == {1: [lower], 2: []}
