@@ -3,8 +3,11 @@
 Each rule is a ratio of a text; a rule rejects a text above its cutoff.  For each
 stratum, the labelled good texts that pass the base tests are the holdout.  A
 cutoff is admissible if the exact binomial test rejects "this cutoff rejects at
-least ``risk / rules`` of the good texts" at level ``delta / (rules * cutoffs *
-strata)`` (Bonferroni over everything tried); the lowest admissible cutoff holds.
+least ``risk / rules`` of the good texts" at level ``delta / (rules * strata)``.  The
+cutoffs of a rule are tried from the highest down and the first failure ends them
+(fixed-sequence testing, so their number costs nothing; the tests are nested, so the
+lowest admissible cutoff is the last before a failure); rules and strata are corrected
+for by Bonferroni.
 A stratum with too few labels to prove anything gets no cutoff, so it rejects nothing.
 
 Defined cases: a null or empty text has no words and fails the base test; a null
@@ -137,7 +140,7 @@ def select_cutoffs(good: DataFrame, stratum: str, rules: list[str], risk: float
         F.posexplode(F.lit(cutoffs)).alias("at", "cutoff"),
     ).withColumn("n_rejected", F.aggregate(F.transform("by", lambda b: F.when(b["steps"] > F.col("at"), b["n"]).otherwise(0)), F.lit(0).cast("long"), lambda a, b: a + b))
     strata = counts.select(stratum).distinct().count()
-    level = delta / max(1, len(rules) * len(cutoffs) * strata)
+    level = delta / max(1, len(rules) * strata)
     passed = tried.where(binomial_tail(F.col("n_good"), F.col("n_rejected"), risk / len(rules)) <= level)
     best = passed.groupBy(stratum, "rule").agg(F.min(F.struct("cutoff", "n_good", "n_rejected")).alias("b"))
     return best.select(stratum, "rule", "b.*")
@@ -194,7 +197,7 @@ good as (select r.* from r where not base_failed and doc_id in (select doc_id fr
 vals as (unpivot (select stratum, {", ".join(_PAIRS)} from good) on {", ".join(_PAIRS)} into name rule value v),
 grid(cutoff) as (values {_GRID}),
 tried as (select stratum, rule, cutoff, count(*) as n, count(*) filter (v > cutoff) as k from vals, grid group by all),
-lev as (select {DELTA} / ({len(RULES) * len(CUTOFFS)} * count(distinct stratum)) as a from good),
+lev as (select {DELTA} / ({len(RULES)} * count(distinct stratum)) as a from good),
 passed as (select stratum, rule, min(cutoff) as cutoff from tried, lev where k < n * {RISK / len(RULES)} and
   (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(RULES)}) + (n - i) * ln({1 - RISK / len(RULES)}))) from (select unnest(range(0, k + 1)) as i)) <= a group by all),
 wide as (select stratum, {", ".join(f"max(cutoff) filter (rule = '{k}') as c_{k}" for k in _PAIRS)} from passed group by stratum)
