@@ -14,9 +14,11 @@ BROADCAST_ROWS = 50_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, or a folder of our own where none is set (tests)."""
+    """The folder that all executors share, or a folder of our own where none is set and all run in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="playtide-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base

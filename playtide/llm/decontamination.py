@@ -9,8 +9,9 @@ text) and the length bound (a text shorter than the window has no place) drop
 candidates, and the rest is verified word by word.
 
 The index holds only benchmark words.  Up to ``INDEX_WORDS`` benchmark words it
-travels to every task; a larger benchmark is probed in blocks of that size, each a
-further pass over the documents, and the hits are merged per document.
+travels to every task; a larger benchmark is read and probed in blocks of that size, each
+a further pass over the documents that adds its hits to a written table, so neither the
+driver nor a task holds more than one block.
 
 Defined cases: a null or wordless text has no words, no hits and is clean; a null or
 wordless item has no window; repeated items report each item_id; a null item_id
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from playtide.llm.common import materialize
+
 WINDOW = 13
 #: Words of benchmark text held in one index.
 INDEX_WORDS = 2_000_000
@@ -96,24 +99,29 @@ def find_hits(words: list[bytes], index: dict[bytes, list]) -> tuple[list[tuple[
     return merged, found
 
 
+def _blocks(items: DataFrame, index_words: int) -> Iterator[list[tuple]]:
+    """(item_id, text) in blocks of about ``index_words`` words, at least one; only one is held at a time."""
+    block, held = [], 0
+    for r in items.select("item_id", "text").where("text is not null").toLocalIterator():
+        held += len(r["text"]) // 2 + 1
+        if held > index_words and block:
+            yield block
+            block, held = [], len(r["text"]) // 2 + 1
+        block.append((r["item_id"], r["text"]))
+    yield block
+
+
 def contamination(docs: DataFrame, items: DataFrame, carry: list[str], size: int = WINDOW, index_words: int = INDEX_WORDS) -> DataFrame:
     """row (struct of the ``carry`` columns), n_words, hit_spans ([start, end) in words) and item_ids (sorted strings).
 
     ``docs`` needs text, ``items`` item_id and text.  Rows pass through unshuffled.
     """
-    blocks: list[list[tuple]] = [[]]
-    held = 0
-    for r in items.select("item_id", "text").where("text is not null").toLocalIterator():
-        held += len(r["text"]) // 2 + 1
-        if held > index_words and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["item_id"], r["text"]))
     spans, names = "array<struct<start:int,end:int>>", "array<string>"
     out = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(spans).alias("hit_spans"), F.array().cast(names).alias("item_ids"))
     schema = out.schema
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for block in blocks:
+    for number, block in enumerate(_blocks(items, index_words)):
+        out = materialize(out) if number else out
         windows = item_windows(block, size)
         index = prefix_index(windows, word_document_counts(docs, {w for win in windows for w in win}) if windows else {})
 
