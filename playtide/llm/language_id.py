@@ -7,7 +7,10 @@ side a text lies.  Its weights are log ratios of the gram frequencies of the two
 (each language counts alike); its margins are scaled on a validation fold.  Decoding
 is loss-weighted: the distance of a text to a language is the sum of the logistic
 losses of the bits, weighted by how often each bit is right on that language; the
-nearest codeword wins, and a small lead over the second flags the text as ambiguous.
+nearest codeword wins.  The score is the softmax of the distances; its sharpness is set by
+the validation fold on fragments of ``FRAGMENT`` characters, which are hard enough to be
+mistaken.  A text whose lead over the second codeword is below that of all but
+``UNSURE_SHARE`` of the validation texts is flagged as ambiguous.
 
 Bound of the training sample: about ``FIT_ROWS`` rows a language, chosen by a hash of
 the id.  The model has ``BUCKETS`` x bits numbers.  Prediction reads whole texts.
@@ -34,7 +37,7 @@ from playtide.llm.common import crc_fold
 BUCKETS = 1 << 15
 FIT_ROWS = 2000
 EXHAUSTIVE = 7
-AMBIGUOUS = 0.05
+FRAGMENT, UNSURE_SHARE = 30, 0.005
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -109,9 +112,9 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filter(len, batches):
-            yield pd.DataFrame({"k": [number[x] for x in pdf["lang"]], "m": [margins(t, weights).tolist() for t in pdf["text"]]})
+            yield pd.DataFrame({"k": [number[x] for x in pdf["lang"]], "m": [margins(t, weights).tolist() for t in pdf["text"]], "f": [margins(t[len(t) // 2 :][:FRAGMENT], weights).tolist() for t in pdf["text"]]})
 
-    checked = sample.where("check").select("text", "lang").mapInPandas(measure, "k int, m array<double>").toPandas()
+    checked = sample.where("check").select("text", "lang").mapInPandas(measure, "k int, m array<double>, f array<double>").toPandas()
     scale, trust = np.full(codes.shape[1], 20.0), np.ones(codes.shape)
     if len(checked):
         m, k = np.stack(checked["m"].to_list()), checked["k"].to_numpy()
@@ -122,7 +125,15 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         for i in range(len(langs)):
             own = signed[k == i]
             trust[i] = ((own > 0).sum(axis=0) + 1) / (len(own) + 2)
-    return {"langs": langs, "codes": codes, "weights": weights, "scale": scale, "trust": trust / trust.sum(axis=1, keepdims=True)}
+    model = {"langs": langs, "codes": codes, "weights": weights, "scale": scale, "trust": trust / trust.sum(axis=1, keepdims=True), "sharp": 1.0, "lead": 0.0}
+    if len(checked):
+        d = distances(np.stack(checked["f"].to_list()), model)
+        tries = np.logspace(-1, 3, 41)
+        nll = [np.logaddexp.reduce(-a * (d - d[np.arange(len(k)), k][:, None]), axis=1).mean() for a in tries]
+        model["sharp"] = float(tries[int(np.argmin(nll))])
+        leads = np.sort(distances(m, model), axis=1)
+        model["lead"] = float(np.quantile(leads[:, 1] - leads[:, 0], UNSURE_SHARE))
+    return model
 
 
 def predictions(docs: DataFrame, model: dict) -> DataFrame:
@@ -141,9 +152,9 @@ def predictions(docs: DataFrame, model: dict) -> DataFrame:
                     d = distances(np.stack([margins(pdf["text"].iat[i], model["weights"]) for i in at]), model)
                     order = np.sort(d, axis=1)
                     pred[at] = np.array(langs, object)[d.argmin(axis=1)]
-                    e = np.exp(-(d - order[:, :1]) * model["codes"].shape[1])
+                    e = np.exp(-(d - order[:, :1]) * model["sharp"])
                     score[at] = 1 / e.sum(axis=1)
-                    unsure[at] = order[:, 1] - order[:, 0] < AMBIGUOUS
+                    unsure[at] = order[:, 1] - order[:, 0] < model["lead"]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": pred, "score": score, "ambiguous": unsure})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
