@@ -11,8 +11,8 @@ the total length) shows a gap below ``GAP``; if ``MAX_COLUMNS`` ends it before,
 states the gap.  Pattern counts are rounded down; what that leaves, fewer pieces than
 basis patterns hold, is packed best-fit decreasing into patterns used once.
 
-The pieces are then ranked within their length (salted by the count of the length, so
-no task ranks more than about ``RANKED`` rows), and a piece's rank names its pattern,
+The pieces are then ranked within their length (salted by the square root of its count,
+so neither a task's rows nor the salts of a length outgrow that), and a piece's rank names its pattern,
 the pattern's instance and the offset there: no piece list is gathered anywhere.
 
 A sequence is padded to ``CAPACITY`` unless its length is a power of two.
@@ -26,6 +26,7 @@ expression are encoded by ``tokenizers`` itself.
 from __future__ import annotations
 
 import base64
+import math
 import warnings
 import zlib
 from collections import Counter
@@ -40,8 +41,6 @@ from playtide.llm.common import materialize, ranked
 
 CAPACITY, END_ID = 1024, 0
 GAP, MAX_COLUMNS = 0.0005, 3000
-#: Rows of one length that a task ranks.
-RANKED = 100_000
 TOKENIZER = "byte_bpe_50k"
 #: The one string that the vocabulary's own file treats as a single id.
 SPECIAL = "<|endoftext|>"
@@ -251,7 +250,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut_pieces`` (a materialised table) with sequence_id and offset."""
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = _places(patterns_for(histogram, capacity))
-    salts = [0] + [-(-histogram.get(n, 0) // RANKED) for n in range(1, capacity + 1)]
+    salts = [0] + [math.isqrt(histogram.get(n, 0)) for n in range(1, capacity + 1)]
     salt = F.pmod(F.xxhash64("doc_id", "start"), F.greatest(F.get(F.lit(salts), F.col("length").cast("int")), F.lit(1))).cast("int")
     numbered = ranked(cut_pieces, ["length"], ["doc_id", "start"], salt, "rank")
 
