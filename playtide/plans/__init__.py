@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from playtide.plans import archive, charts, entities, feed, identity, playback_records, published, review, stats, streams, timeline  # noqa: F401  each registers its queries
+from playtide.plans import archive, charts, entities, feed, habits, identity, playback_records, published, review, stats, streams, timeline  # noqa: F401  each registers its queries
 from playtide.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

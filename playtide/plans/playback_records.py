@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
+from playtide.operators.habits import no_repeat_runs
 from playtide.plans.base import query
 from playtide.plans.stats import PREFIX, add
 from playtide.plans.timeline import events
@@ -21,9 +19,6 @@ where n = 1 order by total_ms desc, day, {k} limit 50""")
 select {k}, length, start_day from (select {k}, island, count(*) as length, min(day) as start_day, row_number() over (partition by {k} order by count(*) desc, min(day)) as n
   from (select {k}, day, day - row_number() over (partition by {k} order by day) as island from (select distinct {k}, day from {{e}}) d) i group by {k}, island) x where n = 1""")
     add(f"records_longest_span_{_e}", f"select {k}, min(day) as first_day, max(day) as last_day, max(day) - min(day) + 1 as span from {{e}} group by {k}")
-    add(f"records_comeback_{_e}", f"""
-select {k}, gap, day as back_day from (select {k}, day, gap, row_number() over (partition by {k} order by gap desc, day) as n
-  from (select {k}, day, day - lag(day) over (partition by {k} order by day) as gap from (select distinct {k}, day from {{e}}) d) g where gap >= 2) x where n = 1""")
     add(f"records_active_months_{_e}", f"select {k}, count(distinct month) as months from {{e}} group by {k}")
     add(f"records_daily_champion_{_e}", f"""
 select {k}, count(*) as days from (select day, {k}, row_number() over (partition by day order by count(*) desc, sum(ms) desc, {k}) as n from {{e}} group by day, {k}) x where n = 1 group by {k}""")
@@ -53,7 +48,7 @@ select user_id, length, start_day from (select user_id, count(*) as length, min(
 add("records_platform_switch_day", """
 select user_id, day, switches from (select user_id, day, count(*) as switches, row_number() over (partition by user_id order by count(*) desc, day) as n
   from (select user_id, day, platform, lag(platform) over (partition by user_id, day order by counted_us, event_id) as prev from {e}) p where prev is not null and prev <> platform group by user_id, day) x where n = 1""")
-add("records_playback_milestones", """
+add("records_listener_milestones", """
 select user_id, n as milestone, event_id, day from (select user_id, event_id, day, row_number() over (partition by user_id order by counted_us, event_id) as n from {e}) x where n in (1, 10, 25, 50, 100, 250)""")
 add("records_late_night_trajectory", """
 select month, count(*) as plays, count(*) filter (where hour between 0 and 4) as late, count(*) >= 500 as qualified from {e} group by month""")
@@ -63,7 +58,7 @@ add("records_late_night_peak_day", "select day, count(*) as late from {e} where
 add("records_platform_reign", "select platform, plays, row_number() over (order by plays desc, platform) as place, round(100e0 * plays / sum(plays) over (), 1) as share from (select platform, count(*) as plays from {e} group by platform)")
 add("wrapped_daily_grid", "select year, month, day, count(*) as plays from {e} group by year, month, day")
 add("wrapped_edge_listens", "select user_id, min(hour) as earliest_hour, max(hour) as latest_hour, min_by(event_id, counted_us) as first_event, max(counted_us) as last_us from {e} group by user_id")
-add("wrapped_personality", """
+add("wrapped_two_scores", """
 select user_id, round(least(100e0, 100e0 * count(distinct track_id) / count(*) * 100 / 40), 1) as explorer, round(least(100e0, 100e0 * count(*) filter (where hour between 0 and 5) / count(*) * 100 / 50), 1) as night_owl,
   count(*) as plays from {e} group by user_id""")
 add("wrapped_new_artists", """
@@ -75,7 +70,7 @@ select month, artist_id, plays, total_ms from (select a.month, a.artist_id, play
 add("wrapped_longest_love", "select user_id, track_id, span from (select user_id, track_id, max(day) - min(day) as span, row_number() over (partition by user_id order by max(day) - min(day) desc, track_id) as n from {e} group by user_id, track_id) x where n = 1")
 add("wrapped_entity_relationships", """
 select artist_id, count(*) as plays, count(distinct day) as days, count(distinct month) as months, max(day) - min(day) + 1 as span, count(distinct track_id) as tracks from {e} group by artist_id""")
-add("home_rediscovery", """
+add("home_idle_tracks", """
 select user_id, track_id, plays, last_day from (select user_id, track_id, count(*) as plays, max(day) as last_day from {e} group by user_id, track_id) x
 where plays >= 3 and last_day < (select max(day) from {e}) - 10""")
 add("home_recent_leaders", """
@@ -88,22 +83,4 @@ f as (select user_id, list_reduce(l, lambda a, x: case when list_contains(a[2:],
 select user_id, greatest(r[1], len(r) - 1)::bigint as length from f"""
 
 
-@query("records_no_repeat_streak", _GREEDY)
-def records_no_repeat_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest greedy run without a repeat, by listener: a repeat starts a new run of that track alone.
-
-    The fold runs in one pass over a listener's plays, in order; its state is the
-    current run, which cannot be longer than the number of tracks.
-    """
-    e = events(spark, sf_dir)
-    lists = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("counted_us", "event_id", "track_id"))).alias("l"))
-    start = F.struct(F.array().cast("array<bigint>").alias("run"), F.lit(0).alias("best"))
-
-    def step(acc, x):
-        again = F.array_contains(acc["run"], x["track_id"])
-        run = F.when(again, F.array(x["track_id"])).otherwise(F.concat(acc["run"], F.array(x["track_id"])))
-        return F.struct(run.alias("run"), F.greatest(acc["best"], F.size(run)).alias("best"))
-
-    return lists.select("user_id", F.aggregate("l", start, step, lambda a: a["best"]).cast("long").alias("length"))
-
-
+query("records_no_repeat_streak", _GREEDY)(lambda s, d: no_repeat_runs(events(s, d), "track_id"))

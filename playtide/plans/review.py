@@ -8,7 +8,7 @@ for _e in ("track", "album", "artist"):
     k = f"{_e}_id"
     add(f"records_yearly_reign_{_e}", f"select year, {k}, plays from (select year, {k}, count(*) as plays, row_number() over (partition by year order by count(*) desc, sum(ms) desc, {k}) as n from {{e}} group by year, {k}) x where n = 1")
     add(f"records_monthly_peak_{_e}", f"select {k}, month, plays from (select {k}, month, count(*) as plays, row_number() over (partition by {k} order by count(*) desc, month) as n from {{e}} group by {k}, month) x where n = 1")
-    add(f"records_skip_storm_{_e}", f"""
+    add(f"records_click_share_{_e}", f"""
 select {k}, count(*) as plays, round(100e0 * count(*) filter (where platform = 'click') / count(*), 1) as pct from {{e}} group by {k} having count(*) >= 10""")
     add(f"wrapped_play_rankings_{_e}", f"""
 select year, {k}, plays, total_ms, row_number() over (partition by year order by plays desc, {k}) as by_plays, row_number() over (partition by year order by total_ms desc, {k}) as by_time
@@ -16,11 +16,11 @@ from (select year, {k}, count(*) as plays, cast(sum(ms) as bigint) as total_ms f
     add(f"wrapped_month_changes_{_e}", f"""
 select {k}, month, plays, plays - lag(plays) over (partition by {k} order by month) as change from (select {k}, month, count(*) as plays from {{e}} group by {k}, month) x""")
 
-add("records_shuffle_peak", "select day, count(*) as plays, round(100e0 * count(*) filter (where platform = 'view') / count(*), 1) as pct from {e} group by day having count(*) >= 20")
+add("records_view_share_days", "select day, count(*) as plays, round(100e0 * count(*) filter (where platform = 'view') / count(*), 1) as pct from {e} group by day having count(*) >= 20")
 add("records_album_full_replays", """
 select user_id, h.album_id, min(plays) as replays, count(*) as tracks from (select user_id, album_id, track_id, count(*) as plays from {e} group by user_id, album_id, track_id) h
 join (select album_id, count(distinct track_id) as total from {e} group by album_id) a on a.album_id = h.album_id group by user_id, h.album_id, a.total having count(*) = a.total and a.total >= 2""")
-add("records_collaboration", """
+add("records_shared_track_plays", """
 select track_id, count(*) as plays, cast(sum(ms) as bigint) as total_ms from {e} where track_id in (select track_id from {e} group by track_id having count(distinct user_id) >= 2) group by track_id""")
 add("wrapped_hero", "select user_id, year, count(*) as plays, count(distinct track_id) as tracks, count(distinct artist_id) as artists, count(distinct day) as active_days, cast(sum(ms) as bigint) as total_ms from {e} group by user_id, year")
 add("wrapped_top_lists", "select user_id, artist_id, plays, n as place from (select user_id, artist_id, count(*) as plays, row_number() over (partition by user_id order by count(*) desc, artist_id) as n from {e} group by user_id, artist_id) x where n <= 3")
