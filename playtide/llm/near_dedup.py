@@ -5,7 +5,7 @@ in two collections.  A table key is a pair (half key of the first collection, ha
 key of the second), so ``HALVES**2`` tables cost ``2 * HALVES * ROWS`` minhashes
 instead of ``2 * ROWS * HALVES**2``.  A half key that no other set shares can be in no
 shared table key, so only shared half keys are paired up.  At a similarity of 0.8 a
-pair shares a table key with probability 0.999, at 0.5 with 0.22, at 0.3 with 0.002, so
+pair shares a table key with probability 0.998, at 0.5 with 0.17, at 0.3 with 0.002, so
 texts of one template seldom meet; a set in a group needs only one found link.
 
 From the tables to links, without emitting the pairs of a group:
@@ -40,7 +40,7 @@ from playtide.llm import shingles as S
 from playtide.llm.common import bounded, components, materialize
 
 SHINGLE, THRESHOLD = 5, 80
-ROWS, HALVES = 5, 20
+ROWS, HALVES = 5, 17
 #: Up to so many ids of candidates are broadcast, so that the texts of all others are not shuffled.
 INVOLVED_ROWS = 500_000
 #: Members compared in one task at most: two blocks of this size.
@@ -55,13 +55,14 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 def half_keys(s: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
     """Half keys of a shingle set: hashes of ``rows`` minhashes each, salted by their place."""
     low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 4096):
-        np.minimum(low, (s[at : at + 4096, None] * a + b).min(axis=0), out=low)
+    for at in range(0, len(s), 1024):
+        np.minimum(low, (s[at : at + 1024, None] * a + b).min(axis=0), out=low)
     parts = low.reshape(-1, rows)
     key = np.arange(len(parts), dtype=np.uint64) + np.uint64(1)
     for j in range(rows):
         key = S.mix(key * np.uint64(0x100000001B3) + parts[:, j])
-    return key.view(np.int64)
+    # the lowest bit names the collection, so no place has to travel with a key
+    return (key >> np.uint64(1) << np.uint64(1) | (np.arange(len(parts)) >= len(parts) // 2).astype(np.uint64)).view(np.int64)
 
 
 def sketches(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, halves: int = HALVES) -> DataFrame:
@@ -85,14 +86,14 @@ def sketches(docs: DataFrame, k: int = SHINGLE, rows: int = ROWS, halves: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>")
 
 
-def candidate_clusters(sets: DataFrame, halves: int = HALVES) -> DataFrame:
+def candidate_clusters(sets: DataFrame) -> DataFrame:
     """node, component over the table keys of ``sets`` (node, halves), a materialised table."""
-    each = sets.select("node", F.posexplode("halves").alias("i", "hk"))
+    each = sets.select("node", F.explode("halves").alias("hk"))
     shared = materialize(each.groupBy("hk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hk"))
-    mine = each.join(shared, "hk").groupBy("node").agg(F.collect_list(F.struct("i", "hk")).alias("h"))
-    side = lambda first: F.transform(F.filter("h", lambda x: (x["i"] < halves) if first else (x["i"] >= halves)), lambda x: x["hk"])
+    mine = each.join(shared, "hk").groupBy("node").agg(F.collect_list("hk").alias("h"))
+    both = mine.select("node", F.filter("h", lambda x: x % 2 == 0).alias("as"), F.filter("h", lambda x: x % 2 != 0).alias("bs"))
     keys = materialize(
-        mine.select("node", F.explode(side(True)).alias("a"), side(False).alias("bs")).select("node", "a", F.explode("bs").alias("b")).select("node", F.xxhash64("a", "b").alias("key"))
+        both.select("node", F.explode("as").alias("a"), "bs").select("node", "a", F.explode("bs").alias("b")).select("node", F.xxhash64("a", "b").alias("key"))
     )
     heads = materialize(keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head"))
     ties = keys.join(heads, "key").where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()
