@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from playtide.config import ChartConfig
 from playtide.functions.timefns import week_no
+from playtide.operators.ranking import numbered
 
 #: Weeks that start at most so many days apart are adjacent.
 ADJACENT_DAYS = 8
@@ -69,9 +70,11 @@ def power_scores(weekly: DataFrame, kind: str, *by: str) -> DataFrame:
     bonus = F.when(F.col("peak") == 1, 200).when(F.col("peak") == 2, 100).when(F.col("peak") == 3, 50).otherwise(0)
     extra = F.when(F.col("first_rank") == 1, 50).otherwise(0) if kind == "track" else 40 * F.col("no1_weeks")
     power = F.rint(F.round(F.col("raw") + 45 * F.sqrt("weeks") + bonus + extra, 6)).cast("long")
-    rank = Window.partitionBy(*by).orderBy(F.desc("power"), F.asc("entity")) if by else Window.orderBy(F.desc("power"), F.asc("entity"))
-    out = agg.withColumn("power", power).withColumn("raw", F.round("raw", 4))
-    return out.withColumn("power_rank", F.row_number().over(rank).cast("long")).drop("first_rank")
+    order = F.desc("power"), F.asc("entity")
+    out = agg.withColumn("power", power).withColumn("raw", F.round("raw", 4)).drop("first_rank")
+    if not by:
+        return numbered(out, "power_rank", *order)
+    return out.withColumn("power_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
 def summary(weekly: DataFrame) -> DataFrame:
@@ -110,3 +113,23 @@ def streaks(weekly: DataFrame, *same: str) -> DataFrame:
 def top_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first ``n`` rows with their place; the sort keeps only ``n`` rows of each partition."""
     return df.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def replaced_leaders(weekly: DataFrame, people: DataFrame) -> DataFrame:
+    """week, prev_entity, entity, shared_artists: a number one that follows another of the same artists.
+
+    ``people`` holds distinct (entity, artist_id).  The window holds one row a week; weeks without a
+    number one end the succession, ties cannot occur within a ranking.
+    """
+    order = Window.orderBy("week")
+    first = weekly.where("rank = 1").select("week", "entity", F.lag("entity").over(order).alias("prev_entity"), (F.col("week") - F.lag("week").over(order)).alias("gap"))
+    moved = first.where((F.col("gap") <= ADJACENT_DAYS) & (F.col("entity") != F.col("prev_entity"))).drop("gap")
+    before = people.select(F.col("entity").alias("prev_entity"), "artist_id")
+    return moved.join(people, "entity").join(before, ["prev_entity", "artist_id"]).groupBy("week", "prev_entity", "entity").agg(F.count(F.lit(1)).alias("shared_artists"))
+
+
+def best_of_decade(scores: DataFrame, decades: DataFrame, n: int = 5) -> DataFrame:
+    """decade, entity, power, weeks, peak, place: the ``n`` best of each decade; ``decades`` has entity and decade, others are left out."""
+    best = Window.partitionBy("decade").orderBy(F.desc("power"), F.desc("weeks"), "peak", "entity")
+    placed = scores.join(decades.where("decade is not null"), "entity").withColumn("place", F.row_number().over(best).cast("long"))
+    return placed.where(F.col("place") <= n).select("decade", "entity", "power", "weeks", "peak", "place")

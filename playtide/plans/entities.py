@@ -63,10 +63,6 @@ from (select platform, min(end_us) as lo, max(end_us) as hi from {raw_plays} gro
 join (select platform, min(end_us) as lo, max(end_us) as hi from {raw_plays} group by platform) b on a.platform < b.platform and a.lo <= b.hi and b.lo <= a.hi""")
 add("source_duplicates", "select user_id, end_us, track_id, count(*) as copies from {raw_plays} group by user_id, end_us, track_id having count(*) > 1")
 
-# a run is whole or not at all in a recalculation: rows that share a run with a changed row
-add("change_closure", """
-select r.play_id, r.user_id, r.run_no from {run_rows} r
-where exists (select 1 from {run_rows} c where c.user_id = r.user_id and c.run_no = r.run_no and c.play_id % 97 = 0)""")
 add("change_logical_delta", """
 select track_id, album_id, cast(sum(n) as bigint) as plays, cast(sum(t) as bigint) as total_ms from
 (select track_id, album_id, 1 as n, ms as t from {e} where day > (select max(day) from {e}) - 9 union all
@@ -81,8 +77,3 @@ select distinct week from (
 add("change_year_state", """
 select year, month, plays, cast(sum(plays) over (order by month) as bigint) as prefix_plays, digest, cast(sum(digest) over (order by month) as bigint) as prefix_digest
 from (select year, month, count(*) as plays, cast(sum(track_id * 31 + hour) as bigint) as digest from {e} group by year, month) x""")
-add("change_import_plan", """
-select added, removed, unchanged, case when added = 0 and removed = 0 then 'identical' when removed = 0 and first_new >= last_old then 'tail' when removed = 0 then 'superset' when added = 0 then 'subset'
-  when unchanged = 0 then 'disjoint' else 'mixed' end as relation
-from (select count(*) filter (where o is null) as added, count(*) filter (where n is null) as removed, count(*) filter (where o is not null and n is not null) as unchanged, min(case when o is null then n end) as first_new, max(o) as last_old
-      from (select a.end_us as o, b.end_us as n from (select play_id, end_us from {raw_plays} where play_id % 10 <> 0) a full outer join (select play_id, end_us from {raw_plays} where play_id % 10 <> 1) b on a.play_id = b.play_id) j) x""")
