@@ -60,7 +60,6 @@ select who, count(*) filter (where gap >= 90) as episodes, max(gap) as longest,
 (select who, day, day - lag(day) over (partition by who order by day) as gap from (select distinct who, day from {ord}) d) x group by who""")
 add("journey_growth", """
 select saved, fresh, cast(sum(fresh) over (order by saved) as bigint) as total from (select saved, count(*) as fresh from {sav} group by saved) x""")
-add("journey_milestones", "select n as milestone, who, saved from (select who, saved, row_number() over (order by saved, who) as n from {sav}) x where n in (1, 10, 50, 100, 500, 1000)")
 add("search_bursts", """
 select user_id, cast(burst as bigint) as burst, count(*) as events, min(us) as start_us, max(us) as end_us from
 (select user_id, us, sum(fresh) over (partition by user_id order by us, event_id rows unbounded preceding) as burst from

@@ -27,17 +27,11 @@ from (select {k}, count(*) as plays, count(distinct track_id) as tracks, count(d
 left join (select {k}, cast(sum(ms) as bigint) as total_ms from {{s}} group by {k}) b on a.{k} = b.{k}
 join (select {k}, hour as top_hour, row_number() over (partition by {k} order by count(*) desc, hour) as n from {{e}} group by {k}, hour) h on h.{k} = a.{k} and h.n = 1""")
     add(f"entity_play_dates_{_e}", f"select {k}, day, count(*) as plays from {{e}} group by {k}, day")
-    add(f"entity_rank_map_{_e}", f"""
-select a.{k}, plays, total_ms, row_number() over (order by plays desc, a.{k}) as by_plays, row_number() over (order by total_ms desc, a.{k}) as by_time
-from (select {k}, count(*) as plays from {{e}} group by {k}) a join (select {k}, cast(sum(ms) as bigint) as total_ms from {{s}} group by {k}) b on a.{k} = b.{k}""")
     add(f"entity_versus_{_e}", f"""
 select {k}, plays, active_days, round(cast(plays as double) / active_days, 2) as per_day, round(100e0 * plays / sum(plays) over (), 2) as share
 from (select {k}, count(*) as plays, count(distinct day) as active_days from {{e}} where {k} in (0, 1, 2) group by {k}) x""")
 
 add("entity_plays_page", "select event_id, counted_us, ms from {e} where track_id = 3 order by counted_us desc, event_id limit 25 offset 25")
-add("entity_top_share", """
-select artist_id, count(*) filter (where place <= 5) as inside, count(*) as tracks
-from (select artist_id, track_id, row_number() over (order by count(*) desc, artist_id, track_id) as place from {e} group by artist_id, track_id) x group by artist_id""")
 add("entity_tracks_of_artist", """
 select artist_id, track_id, plays, row_number() over (partition by artist_id order by plays desc, track_id) as place
 from (select artist_id, track_id, count(*) as plays from {e} group by artist_id, track_id) x""")

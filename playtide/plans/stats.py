@@ -105,15 +105,6 @@ for _entity in ("track", "album", "artist"):
 select {_entity}_id, count(*) as plays, cast(sum(ms) as bigint) as total_ms from {{e}} group by {_entity}_id order by plays desc, total_ms desc, {_entity}_id limit 20""")
     add(f"leaderboard_{_entity}_by_time", f"""
 select {_entity}_id, cast(sum(ms) as bigint) as total_ms, count(distinct day) as active_days from {{s}} group by {_entity}_id order by total_ms desc, {_entity}_id limit 20""")
-    add(f"chart_rows_{_entity}", f"""
-select a.{_entity}_id, plays, total_ms, first_us, last_us, tracks, round(100e0 * plays / sum(plays) over (), 2) as share,
-  row_number() over (order by plays desc, total_ms desc, a.{_entity}_id) as place
-from (select {_entity}_id, count(*) as plays, min(counted_us) as first_us, max(counted_us) as last_us, count(distinct track_id) as tracks from {{e}} group by {_entity}_id) a
-join (select {_entity}_id, cast(sum(ms) as bigint) as total_ms from {{s}} group by {_entity}_id) b on a.{_entity}_id = b.{_entity}_id""")
-    add(f"entity_ranks_{_entity}", f"""
-select {_entity}_id, plays, recent, row_number() over (order by plays desc, {_entity}_id) as rank_lifetime, row_number() over (order by recent desc, {_entity}_id) as rank_recent
-from (select {_entity}_id, count(*) as plays, count(*) filter (where day > last_day - 28) as recent
-      from {{e}} cross join (select max(day) as last_day from {{e}}) m group by {_entity}_id)""")
 
 add("stats_listener_summary", """
 select a.user_id, plays, coalesce(total_ms, 0) as total_ms, tracks, active_days from

@@ -14,7 +14,8 @@ chart_year_end_artist chart_change_track record_same_rank_track record_longest_t
 returns_episodes search_bursts release_cycle_half_life import_signed_delta search_ranked_match search_inverted_index record_fingerprints stream_sessions stream_type_runs
 entity_profile_track change_closure change_contribution_weeks cross_power_artist feed_no1_track feed_record_tied_album wrapped_album_completion wrapped_taste_drivers identity_components search_ngrams
 published_weekly_tracks credits_artist_shares feat_lover_artist period_this_week records_comeback_track records_playback_milestones records_new_year records_skip_storm_album wrapped_listening_age wrapped_personality_label
-change_import_plan change_range_covered record_artist_most_no1_album record_self_replacement_album record_decade_best_track platform_classes chart_power_track""".split()
+change_import_plan change_range_covered record_artist_most_no1_album record_self_replacement_album record_decade_best_track platform_classes chart_power_track
+chart_rows_track entity_ranks_album entity_rank_map_artist entity_top_share journey_milestones""".split()
 
 
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
