@@ -5,6 +5,8 @@ from __future__ import annotations
 from playtide.llm.decontamination import ORACLE_SQL as _DECONTAMINATION_SQL
 from playtide.llm.decontamination import op3_decontamination
 from playtide.llm.hilbert_sharding import op10_hilbert_sharding
+from playtide.llm.importance_resampling import ORACLE_SQL as _RESAMPLING_SQL
+from playtide.llm.importance_resampling import op11_importance_resampling
 from playtide.llm.language_id import op1_language_id
 from playtide.llm.near_dedup import ORACLE_SQL as _NEAR_DEDUP_SQL
 from playtide.llm.near_dedup import op4_minhash_near_dedup
@@ -14,6 +16,8 @@ from playtide.llm.quality_compression import op6_quality_compression
 from playtide.llm.quality_rules import ORACLE_SQL as _QUALITY_RULES_SQL
 from playtide.llm.quality_rules import op7_quality_rules
 from playtide.llm.secret_scan import op5_secret_scan
+from playtide.llm.spelling_variants import ORACLE_SQL as _SPELLING_SQL
+from playtide.llm.spelling_variants import op12_spelling_variants
 from playtide.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
@@ -27,10 +31,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_hilbert_sharding": op10_hilbert_sharding,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE_SQL = {
     "op3_decontamination": _DECONTAMINATION_SQL,
     "op4_minhash_near_dedup": _NEAR_DEDUP_SQL,
     "op7_quality_rules": _QUALITY_RULES_SQL,
+    "op11_importance_resampling": _RESAMPLING_SQL,
+    "op12_spelling_variants": _SPELLING_SQL,
 }
