@@ -2,91 +2,215 @@
 
 The vocabulary holds the words of a corpus that are long and frequent enough.  Two of
 its words are near if one inserted, deleted or replaced character turns one into the
-other.  Every word emits its whole neighbourhood, each member once: all deletions, all
-replacements and all insertions over the observed alphabet.  A hash join with the
+other.  Every word generates its whole neighbourhood, each member once: all deletions,
+all replacements and all insertions over the observed alphabet.  A hash join with the
 vocabulary keeps the members that are words; nothing is compared or measured.  A word's
 form is its most frequent near word, if that is frequent enough; following forms gives
 the root of its group.
 
-* The alphabet is observed by place: only letters that some word of the right length has
-  at that place are put there, since no other letter can lead to a word.
-* A member that arises at several places (inserting or deleting inside a run of one
-  letter) is emitted at one of them, so no distinct is needed.
-* One row is emitted for a word, a place and a letter: nothing is gathered for a word.  A
+* Words are counted inside a batch of documents first, then pre-aggregated and shuffled.
+* A neighbourhood is generated as hashes: a member's hash follows from prefix sums of its
+  word, so it costs a few operations and no string.  Members whose two places in a bitmap
+  of the vocabulary are empty are no words; of the others the strings are built and joined
+  with the vocabulary.  The bitmap has ``FILTER_BITS`` bits whatever the vocabulary; a
+  vocabulary too large for it lets more strings through to the join, none is lost.
+* Members are generated in chunks of ``CHUNK``, and nothing is gathered for a word.  A
   vocabulary word is met by at most its own neighbourhood, so no join key is hot.
-* The vocabulary is broadcast only if its counted bytes are few, else both sides shuffle.
+* A member that arises at several places (inserting or deleting inside a run of one
+  letter) is kept at one of them, so no distinct is needed.
 
-Defined cases: null, empty and wordless texts give no words; a null doc_id counts as an
-empty id; rows that repeat a doc_id are counted as often; empty tables give an empty
+Defined cases: null, empty and wordless texts give no words; a null id counts as an
+empty one; rows that repeat an id are counted as often; empty tables give an empty
 result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtide.llm.common import bounded, materialize
 from playtide.llm.importance_resampling import CRC_TABLE, LOWER, UPPER, crc_sql
+from playtide.llm.shingles import mix
 
-LETTERS = r"[^A-Za-zÀ-ÿ]+"
+LETTERS = "a-z\u00c0-\u00ff"
 MIN_LENGTH, MIN_COUNT, FACTOR, NOISE = 5, 3, 2, 97
-#: A vocabulary of at most so many bytes, words and counts, may be broadcast.
-BROADCAST_BYTES = 32 << 20
+FILTER_BITS = 1 << 26
+#: Members hashed at once, and distinct words counted before a task hands them on.
+CHUNK, HELD_WORDS = 1 << 20, 200_000
+#: Words whose neighbourhoods one task generates.
+TASK_WORDS = 5_000
+_U = np.uint64
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+def misspelt(doc_id: str, run: str, one_in: int = NOISE) -> str:
+    """The run, or, for one in ``one_in`` pairs of document and run, the run without one letter."""
+    h = zlib.crc32(f"{doc_id}:{run}".encode())
+    return run if h % one_in else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+
+def vocabulary(docs: DataFrame, id_col: str, alter: Callable[[str, str], str] | None = None, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
+    """(word, n), written: runs of letters, A-Z lower-cased, that are long and frequent enough.
+
+    ``alter`` may shorten a run, given its document's id; it is asked once a document and run.
+    """
+    pattern = re.compile(f"[{LETTERS}]{{{min_length},}}")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+
+        def held() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"word": pa.array(total.keys(), pa.string()), "n": pa.array(total.values(), pa.int64())})
+
+        for batch in batches:
+            for doc, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                if text:
+                    found = Counter(pattern.findall(text.encode().lower().decode()))
+                    for run, n in found.items():
+                        total[alter(doc or "", run) if alter else run] += n
+                if len(total) > HELD_WORDS:
+                    yield held()
+                    total.clear()
+        yield held()
+
+    counted = docs.select(F.col(id_col).cast("string").alias("id"), "text").mapInArrow(count, "word string, n long")
+    return materialize(counted.where(F.length("word") >= min_length).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count))
+
 
+def _values(codes: np.ndarray) -> np.ndarray:
+    return mix(codes.astype(_U) + _U(0x1F83D9ABFB41BD6B))
 
-def runs(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
-    """(doc_id, run): every run of letters of at least ``min_length``, A-Z lower-cased."""
-    all_runs = F.split(F.translate("text", UPPER, LOWER), LETTERS)
-    return docs.select("doc_id", F.explode(F.filter(all_runs, lambda w: F.length(w) >= min_length)).alias("run"))
 
+def _powers(n: int, base: int) -> np.ndarray:
+    steps = np.full(n, base, _U)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
-def with_misspellings(words: DataFrame, one_in: int = NOISE) -> DataFrame:
-    """(word): the runs; one in ``one_in`` (document, run) pairs, by hash, loses one letter."""
-    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
-    at = (F.col("h") % F.length("run")).cast("int")
-    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    return words.select("run", h.alias("h")).select(F.when(F.col("h") % one_in == 0, cut).otherwise(F.col("run")).alias("word"))
 
+def _same_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indices, code points) of the words of each length."""
+    lengths = np.array([len(w) for w in words])
+    for n in np.unique(lengths):
+        which = np.flatnonzero(lengths == n)
+        yield which, np.frombuffer("".join(words[k] for k in which).encode("utf-32-le"), np.uint32).reshape(-1, n)
 
-def vocabulary(words: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
-    """(word, n), written: pre-aggregated counts of words that are long and frequent enough."""
-    return materialize(words.where(F.length("word") >= min_length).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count))
 
+def _prefix_sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, powers and prefix sums (from 0) of words of one length."""
+    value, power = _values(codes), _powers(codes.shape[1] + 1, _STEP)
+    sums = np.zeros((len(codes), codes.shape[1] + 1), _U)
+    np.cumsum(value * power[:-1], axis=1, out=sums[:, 1:])
+    return value, power, sums
+
+
+def _places(hashes: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of the bitmap for the hash of a word and its length."""
+    spread = mix(hashes + _U(length))
+    return spread & _U(bits - 1), (spread >> _U(32)) & _U(bits - 1)
+
+
+def bitmap(vocab: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bitmap (bytes) with two bits of each word: set in the tasks, united by eight bytes, of a fixed size."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch["word"].to_pylist()
+            for _, codes in _same_length(words) if words else ():
+                at = np.concatenate(_places(_prefix_sums(codes)[2][:, -1], codes.shape[1], bits))
+                yield pa.RecordBatch.from_pydict({"slot": (at >> _U(6)).astype(np.int64), "bit": (_U(1) << (at & _U(63))).view(np.int64)})
+
+    slots = vocab.select("word").mapInArrow(mark, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[slots["slot"]] = slots["bits"]
+    return out.view(np.uint8)
+
+
+def observed_letters(vocab: DataFrame) -> np.ndarray:
+    """Code points of the characters of the vocabulary (an alphabet: small)."""
+
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.frombuffer("".join(batch["word"].to_pylist()).encode("utf-32-le"), np.uint32)
+            yield pa.RecordBatch.from_pydict({"c": np.unique(codes).astype(np.int64)})
+
+    return np.sort(vocab.select("word").mapInArrow(letters, "c long").distinct().toPandas()["c"].to_numpy(np.int64)).astype(np.uint32)
+
+
+def neighbourhood(codes: np.ndarray, letters: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, place, end, letter) of the members of each row's neighbourhood that ``known`` may hold.
+
+    ``codes`` are words of one length; the member is the row's word with the characters from
+    place to end replaced by the letter (-1: none).  Rows are taken in chunks.
+    """
+    bits = len(known) * 8
+    length, inverse, value_of = codes.shape[1], _U(_BACK), _values(letters)
 
-def _letter(word: str, i: Column) -> Column:
-    return F.substring(word, i + 1, F.lit(1))
+    def held(at: np.ndarray) -> np.ndarray:
+        return (known[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 != 0
 
+    def probe(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+        spread = mix(hashes.ravel() + _U(size))
+        hit = np.flatnonzero(held(spread & _U(bits - 1)))
+        hit = hit[held((spread[hit] >> _U(32)) & _U(bits - 1))]
+        return list(np.unravel_index(hit, hashes.shape))
 
-def observed_letters(vocab: DataFrame) -> DataFrame:
-    """(len, i, letters), written: the letters that words of ``len`` have at place ``i``; an array holds an alphabet at most."""
-    places = vocab.select("word", F.length("word").alias("len"), F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
-    return materialize(places.select("len", "i", _letter("word", F.col("i")).alias("c")).groupBy("len", "i").agg(F.collect_set("c").alias("letters")))
+    value, power, sums = _prefix_sums(codes)
+    places = max(1, CHUNK // max(1, length * len(letters)))
+    for first in range(0, len(codes), places):
+        c, v, s = codes[first : first + places], value[first : first + places], sums[first : first + places]
+        whole = s[:, -1:]
+        row, at = probe(s[:, :-1] + (whole - s[:, 1:]) * inverse, length - 1)
+        last = np.ones(len(row), bool)
+        inner = at < length - 1
+        last[inner] = c[row[inner], at[inner]] != c[row[inner], at[inner] + 1]
+        yield from zip((row[last] + first).tolist(), at[last].tolist(), (at[last] + 1).tolist(), [-1] * int(last.sum()), strict=True)
+        span = max(1, CHUNK // max(1, len(letters) * len(c)))  # a very long word is taken in parts
+        for lo in range(0, length + 1, span):
+            own = slice(lo, min(lo + span, length))
+            row, at, a = probe((whole - v[:, own] * power[own])[:, :, None] + (value_of[None, :] * power[own, None])[None], length)
+            other = c[row, at + lo] != letters[a]
+            yield from zip((row[other] + first).tolist(), (at[other] + lo).tolist(), (at[other] + lo + 1).tolist(), letters[a[other]].tolist(), strict=True)
+            own = slice(lo, min(lo + span, length + 1))
+            row, at, a = probe((s[:, own] + (whole - s[:, own]) * _U(_STEP))[:, :, None] + (value_of[None, :] * power[own, None])[None], length + 1)
+            at = at + lo
+            fresh, inner = np.ones(len(row), bool), at < length
+            fresh[inner] = c[row[inner], at[inner]] != letters[a[inner]]
+            yield from zip((row[fresh] + first).tolist(), at[fresh].tolist(), at[fresh].tolist(), letters[a[fresh]].tolist(), strict=True)
 
 
-def neighbourhoods(vocab: DataFrame) -> DataFrame:
-    """(word, n, near): every string one edit away from ``word`` that the letters of the vocabulary allow, once."""
-    letters = observed_letters(vocab)
-    none = F.array().cast("array<string>")
-    placed = vocab.select("word", "n", F.length("word").alias("len"), F.explode(F.sequence(F.lit(0), F.length("word"))).alias("i"))
-    same = letters.withColumnRenamed("letters", "put")
-    longer = letters.select((F.col("len") - 1).alias("len"), "i", F.col("letters").alias("add"))
-    shorter = letters.where("i = 0").select((F.col("len") + 1).alias("len"), F.lit(True).alias("cut"))
-    joined = placed.join(bounded(same), ["len", "i"], "left").join(bounded(longer), ["len", "i"], "left").join(bounded(shorter), "len", "left")
-    i, word = F.col("i"), F.col("word")
-    here, left = _letter("word", i), F.substring("word", F.lit(1), i)
-    rest, after = F.substring("word", i + 1, F.col("len")), F.substring("word", i + 2, F.col("len"))
-    deleted = F.when(F.col("cut") & (i < F.col("len")) & (here != _letter("word", i + 1)), F.array(F.concat(left, after))).otherwise(none)
-    replaced = F.transform(F.filter(F.coalesce("put", none), lambda c: c != here), lambda c: F.concat(left, c, after))
-    inserted = F.transform(F.filter(F.coalesce("add", none), lambda c: c != here), lambda c: F.concat(left, c, rest))
-    return joined.select(word, "n", F.explode(F.concat(deleted, replaced, inserted)).alias("near"))
+def near_words(vocab: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(word, n, near, near_n): every ordered pair of near words of ``vocab`` (word, n), a written table."""
+    context = vocab.sparkSession.sparkContext
+    known, letters = context.broadcast(bitmap(vocab, bits)), context.broadcast(observed_letters(vocab))
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = batch["word"].to_pylist(), batch["n"].to_pylist()
+            for which, codes in _same_length(words) if words else ():
+                out: tuple[list, list, list] = ([], [], [])
+                size = 0
+                for k, at, end, letter in neighbourhood(codes, letters.value, known.value):
+                    w = words[which[k]]
+                    out[0].append(w)
+                    out[1].append(n[which[k]])
+                    out[2].append(w[:at] + (chr(letter) if letter >= 0 else "") + w[end:])
+                    size += len(w) + 20
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["word", "n", "near"])
+                        out, size = ([], [], []), 0
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["word", "n", "near"])
 
-def near_words(vocab: DataFrame) -> DataFrame:
-    """(word, n, near, near_n): every ordered pair of near words of the vocabulary."""
-    words = vocab.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    size = vocab.agg(F.coalesce(F.sum(F.octet_length("word") + 16), F.lit(0))).first()[0]
-    return neighbourhoods(vocab).join(F.broadcast(words) if size <= BROADCAST_BYTES else words, "near")
+    tasks = max(1, vocab.count() // TASK_WORDS)
+    return vocab.repartition(tasks).mapInArrow(emit, "word string, n long, near string").join(vocab.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
 
 
 def roots(forms: DataFrame, max_rounds: int = 8) -> DataFrame:
@@ -118,7 +242,7 @@ def variant_groups(vocab: DataFrame, factor: int = FACTOR) -> DataFrame:
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return variant_groups(vocabulary(with_misspellings(runs(docs))))
+    return variant_groups(vocabulary(docs, "doc_id", misspelt))
 
 
 ORACLE_SQL = f"""
