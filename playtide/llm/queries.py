@@ -10,6 +10,8 @@ from playtide.llm.importance_resampling import op11_importance_resampling
 from playtide.llm.language_id import op1_language_id
 from playtide.llm.near_dedup import ORACLE_SQL as _NEAR_DEDUP_SQL
 from playtide.llm.near_dedup import op4_minhash_near_dedup
+from playtide.llm.norm_search import ORACLE_SQL as _SEARCH_SQL
+from playtide.llm.norm_search import op13_norm_search
 from playtide.llm.packing import op8_packing
 from playtide.llm.pii import op2_pii
 from playtide.llm.quality_compression import op6_quality_compression
@@ -33,6 +35,7 @@ QUERIES = {
     "op10_hilbert_sharding": op10_hilbert_sharding,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_norm_search": op13_norm_search,
 }
 
 ORACLE_SQL = {
@@ -41,4 +44,5 @@ ORACLE_SQL = {
     "op7_quality_rules": _QUALITY_RULES_SQL,
     "op11_importance_resampling": _RESAMPLING_SQL,
     "op12_spelling_variants": _SPELLING_SQL,
+    "op13_norm_search": _SEARCH_SQL,
 }

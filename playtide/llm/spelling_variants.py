@@ -32,6 +32,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ MIN_LENGTH, MIN_COUNT, FACTOR, NOISE = 5, 3, 2, 97
 FILTER_BITS = 1 << 26
 #: Members hashed at once, and distinct words counted before a task hands them on.
 CHUNK, HELD_WORDS = 1 << 20, 200_000
+#: Eight-byte words of the bitmap that come to the driver as one row.
+PAGE = 1 << 10
 #: Words whose neighbourhoods one task generates.
 TASK_WORDS = 5_000
 _U = np.uint64
@@ -119,7 +122,7 @@ def _places(hashes: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.
 
 
 def bitmap(vocab: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bitmap (bytes) with two bits of each word: set in the tasks, united by eight bytes, of a fixed size."""
+    """Bitmap (bytes) with two bits of each word: set in the tasks, united by eight bytes, sent by pages, of a fixed size."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +131,17 @@ def bitmap(vocab: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
                 at = np.concatenate(_places(_prefix_sums(codes)[2][:, -1], codes.shape[1], bits))
                 yield pa.RecordBatch.from_pydict({"slot": (at >> _U(6)).astype(np.int64), "bit": (_U(1) << (at & _U(63))).view(np.int64)})
 
-    slots = vocab.select("word").mapInArrow(mark, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(bits >> 6, np.int64)
-    out[slots["slot"]] = slots["bits"]
-    return out.view(np.uint8)
+    def page(key: tuple, slots: pd.DataFrame) -> pd.DataFrame:
+        words = np.zeros(PAGE, np.int64)
+        words[slots["slot"].to_numpy() % PAGE] = slots["bits"].to_numpy()
+        return pd.DataFrame({"page": [key[0]], "words": [words.tobytes()]})
+
+    marked = vocab.select("word").mapInArrow(mark, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    pages = marked.groupBy(F.floor(F.col("slot") / PAGE).alias("page")).applyInPandas(page, "page long, words binary")
+    out = np.zeros((max(1, bits // 64 // PAGE), min(PAGE, bits // 64)), np.int64)
+    for r in pages.collect():  # FILTER_BITS bits together
+        out[r.page] = np.frombuffer(r.words, np.int64)[: out.shape[1]]
+    return out.reshape(-1).view(np.uint8)
 
 
 def observed_letters(vocab: DataFrame) -> np.ndarray:
