@@ -42,12 +42,13 @@ def words_of(text: Column) -> Column:
 
 def bucketed(docs: DataFrame, id_col: str, max_n: int = MAX_N, buckets: int = BUCKETS) -> DataFrame:
     """The written table (row, id, n_words, b): the bucket of every feature of every row."""
-    words = F.col("_w")
-    grams = [F.transform("_w", lambda w: F.crc32(w.cast("binary")))]
-    for n in range(2, max_n + 1):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.crc32(F.array_join(F.slice(words, i, n), " ").cast("binary"))))
-    b = F.transform(F.concat(*grams), lambda c: (c % buckets).cast("int"))
+        return F.transform(starts, lambda i: F.crc32(F.array_join(F.slice(F.col("_w"), i, n), " ").cast("binary")))
+
+    single = F.transform("_w", lambda w: F.crc32(w.cast("binary")))
+    b = F.transform(F.concat(single, *[runs(n) for n in range(2, max_n + 1)]), lambda c: (c % buckets).cast("int"))
     cut = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col("text")).alias("_w"))
     return materialize(cut.select("row", "id", F.size("_w").cast("long").alias("n_words"), b.alias("b")))
 

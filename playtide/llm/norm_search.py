@@ -216,8 +216,7 @@ def with_thresholds(queries: DataFrame, vectors: DataFrame, k: int, seed_rows: i
 def search_block(table: DataFrame, block: pa.Table, k: int) -> DataFrame:
     """(query_id, vec_id, score): the best k of each task for the queries of ``block``."""
     q_len = np.asarray(block["length"])
-    threshold = block["threshold"].to_pandas().fillna(LEAST).astype("int64").to_numpy()
-    last = block["last"].to_pandas().fillna(MOST).astype("int64").to_numpy()
+    threshold, last = (np.asarray(pa.compute.fill_null(block[c], end)) for c, end in (("threshold", LEAST), ("last", MOST)))
     held = table.sparkSession.sparkContext.broadcast((np.asarray(block["id"]), q_len, matrix(block["x"]), threshold, last))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

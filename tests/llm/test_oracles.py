@@ -16,9 +16,9 @@ from playtide.llm import near_dedup, packing, pii, queries, quality_rules, secre
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, small, name):
     c = duckdb.connect()
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "embeddings"):
         c.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
-    canonical = lambda df: df[sorted(df.columns)].astype(str).sort_values("doc_id").reset_index(drop=True)
+    canonical = lambda df: df[sorted(df.columns)].astype(str).sort_values(sorted(df.columns)).reset_index(drop=True)
     pd.testing.assert_frame_equal(canonical(queries.QUERIES[name](spark, small).toPandas()), canonical(c.execute(queries.ORACLE_SQL[name]).df()))
 
 
