@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from playtide.plans import archive, changes, charts, entities, feed, habits, identity, playback_records, published, rankings, review, stats, streams, timeline  # noqa: F401  each registers its queries
+from playtide.plans import archive, changes, charts, entities, feed, habits, identity, incremental, merging, playback_records, record_scans, published, rankings, review, searching, stats, streams, timeline  # noqa: F401  each registers its queries
 from playtide.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -133,9 +133,6 @@ select a.week, a.entity, a.plays - b.plays as gap, round(100e0 * (a.plays - b.pl
 select c.entity, c.week, case when p.entity is not null then 'stay' when h.first_week < c.week then 're' else 'new' end as movement
 from (select * from {{w_{_k}}} where week = (select max(week) from {{w_{_k}}}) and rank = 1) c
 left join {{w_{_k}}} p on p.entity = c.entity and p.week = c.week - 7 left join {{sum_{_k}}} h on h.entity = c.entity""")
-    add(f"feed_record_weeks_{_k}", f"""
-select entity, week, so_far from (select entity, week, so_far, max(so_far) over (order by week range between unbounded preceding and 1 preceding) as best
-from (select entity, week, row_number() over (partition by entity order by week) as so_far from {{w_{_k}}}) r) x where so_far > best""")
     add(f"feed_top10_{_k}", f"select week, rank, entity, plays from {{w_{_k}}} where rank <= 10")
     add(f"feed_throwback_{_k}", f"select a.week, a.entity as now_no1, b.entity as year_ago_no1 from {{w_{_k}}} a join {{w_{_k}}} b on b.week = a.week - 364 and a.rank = 1 and b.rank = 1")
 
@@ -156,11 +153,6 @@ select t.week, t.plays, t.tracks, a.entity as top_track, b.entity as top_album,
 from (select week, cast(sum(plays) as bigint) as plays, count(distinct track_id) as tracks from {cp} group by week) t
 left join {w_track} a on a.week = t.week and a.rank = 1 left join {w_album} b on b.week = t.week and b.rank = 1 left join {w_artist} d on d.week = t.week and d.rank = 1""")
 add("record_strongest_week", "select week, cast(sum(plays) as bigint) as plays from {cp} group by week order by plays desc, week desc limit 1")
-add("record_triple_no1", """
-select a.week, d.entity as artist_id, a.entity as track_id from {w_track} a join {w_artist} d on a.week = d.week and a.rank = 1 and d.rank = 1
-where exists (select 1 from {cp} c where c.week = a.week and c.track_id = a.entity and c.artist_id = d.entity)""")
-add("record_double_debut", """
-select a.first_week as week, a.entity as track_id, b.entity as artist_id from {sum_track} a join {sum_artist} b on a.first_week = b.first_week where a.debut_no1 and b.debut_no1""")
 add("record_self_replacement", """
 select x.week, x.prev_entity, x.entity, x.album_id from (select w.week, w.entity, c.album_id, lag(w.entity) over (order by w.week) as prev_entity, lag(c.album_id) over (order by w.week) as prev_album, w.week - lag(w.week) over (order by w.week) as gap
 from {w_track} w join (select distinct track_id, album_id from {cp}) c on c.track_id = w.entity where w.rank = 1) x where gap <= 8 and entity <> prev_entity and album_id = prev_album""")

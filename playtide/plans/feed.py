@@ -47,12 +47,6 @@ join {m} h on h.entity = x.entity""")
         add(f"feed_{_name}_{_k}", f"""
 select week, entity, step from (select week, entity, step, row_number() over (partition by week order by step {_dir}, entity) as n from
  (select week, entity, lag(rank) over (partition by entity order by week) - rank as step, week - lag(week) over (partition by entity order by week) as gap from {w}) x where gap <= 8) y where n = 1""")
-    add(f"feed_record_tied_{_k}", f"""
-select entity, week, so_far from (select entity, week, so_far, max(so_far) over (order by week range between unbounded preceding and 1 preceding) as best
-from (select entity, week, row_number() over (partition by entity order by week) as so_far from {w}) r) x where so_far = best""")
-    add(f"feed_record_watch_{_k}", f"""
-select entity, week, best - so_far as missing from (select entity, week, so_far, max(so_far) over (order by week range between unbounded preceding and 1 preceding) as best
-from (select entity, week, row_number() over (partition by entity order by week) as so_far from {w}) r) x where best - so_far between 1 and 2 and so_far >= 5""")
     add(f"feed_longevity_{_k}", f"select entity, week, so_far from (select entity, week, row_number() over (partition by entity order by week) as so_far from {w}) r where so_far in (5, 10, 20, 50, 100)")
     add(f"feed_weekly_race_{_k}", f"select a.week, a.entity, b.entity as rival, a.plays - b.plays as gap from {w} a join {w} b on a.week = b.week and a.rank = 1 and b.rank = 2 where 10 * (a.plays - b.plays) <= a.plays")
     add(f"feed_market_overview_{_k}", f"""
