@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Signs that count as one.
 _SINGLE = "‘’‚‛′‵❛❜＇"
@@ -21,7 +22,7 @@ def normalize_text(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", text or "").translate(_SIGNS).casefold().split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalized(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_text)
 

@@ -72,11 +72,11 @@ _CFG = PlayFilters()
 
 @query("change_merge_chain", f"""with {RAW_PLAYS_SQL},
 {_SNAPSHOTS},
-p as (select play_id, user_id, end_us as at, end_us - greatest(coalesce(ms, 0), 0) * {US_PER_MS} as b, track_id from new_rows where end_us is not null),
-l as (select *, lag(at) over w as pat, lag(track_id) over w as pt, row_number() over w = 1 as head from p window w as (partition by user_id order by at, play_id)),
+p as (select play_id, user_id, end_us as us, end_us - greatest(coalesce(ms, 0), 0) * {US_PER_MS} as b, track_id from new_rows where end_us is not null),
+l as (select *, lag(us) over w as pat, lag(track_id) over w as pt, row_number() over w = 1 as head from p window w as (partition by user_id order by us, play_id)),
 f as (select *, head or track_id is distinct from pt or b - pat > {_CFG.max_gap_minutes * 60_000_000} or b - pat < -{_CFG.overlap_tolerance_us} as fresh from l),
-s as (select *, sum(fresh::int) over (partition by user_id order by at, play_id) as run from f)
-select play_id, user_id, first_value(at) over w as start_us, first_value(play_id) over w as start_id from s window w as (partition by user_id, run order by at, play_id)""")
+s as (select *, sum(fresh::int) over (partition by user_id order by us, play_id) as run from f)
+select play_id, user_id, first_value(us) over w as start_us, first_value(play_id) over w as start_id from s window w as (partition by user_id, run order by us, play_id)""")
 def change_merge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the new export, from those of the old one; only the runs that the difference touches are merged again."""
     old, new = (df.where("end_us is not null") for df in snapshots(spark, sf_dir))

@@ -37,24 +37,24 @@ def test_ledger_follows_its_plays(spark, root, monkeypatch):
     rng, cfg = random.Random(1), ChartConfig()
     first = played(rng, range(100, 106))
     old, new = spark.createDataFrame(first, PLAYS), spark.createDataFrame(first[5:] + played(rng, [106], 7), PLAYS)
-    one = L.refresh(spark, root, old, cfg)
+    one = L.refresh(spark, root, old, cfg, weeks_a_part=1)
     before = files(root)
-    assert L.refresh(spark, root, old, ChartConfig(top_n=5)) == one and files(root) == before  # a rerun writes nothing
+    assert L.refresh(spark, root, old, ChartConfig(top_n=5), weeks_a_part=1) == one and files(root) == before  # a rerun writes nothing
     weeks = L.changed_weeks(old, new, cfg)
-    two = L.refresh(spark, root, new, cfg, weeks)
+    two = L.refresh(spark, root, new, cfg, weeks, 1)
     after = files(root)
     changed = {str(r.week) for r in weeks.collect()}
     assert 0 < len(changed) < 6
     assert {k: v for k, v in after.items() if k in before} == before
-    assert {k.split("_part=")[1].split("/")[0] for k in after.keys() - before.keys()} == changed
+    assert {k.split("_part=")[1].split("/")[0] for k in after.keys() - before.keys()} == {str(int(w) // 7) for w in changed}
     same = lambda a, b: sorted(map(tuple, a.select("entity", "week", "plays", "ms").collect())) == sorted(map(tuple, b.select("entity", "week", "plays", "ms").collect()))
     for k in L.KINDS:
         assert same(two.read(spark, k), weekly_totals(new, f"{k}_id", cfg)) and same(one.read(spark, k), weekly_totals(old, f"{k}_id", cfg))
     # the ledger serves its own plays; other plays and other rules come from the raw rows
     asked = []
     monkeypatch.setattr(L, "weekly_totals", lambda *a: asked.append(1) or weekly_totals(*a))
-    assert same(L.weekly(spark, root, new, "track", cfg), weekly_totals(new, "track_id", cfg)) and not asked
-    assert same(L.weekly(spark, root, old, "track", cfg), weekly_totals(old, "track_id", cfg)) and len(asked) == 1
+    assert same(L.weekly(spark, root, new, "track", cfg, 1), weekly_totals(new, "track_id", cfg)) and not asked
+    assert same(L.weekly(spark, root, old, "track", cfg, 1), weekly_totals(old, "track_id", cfg)) and len(asked) == 1
     shifted = ChartConfig(week_start_dow=3)
     assert same(L.weekly(spark, root, new, "track", shifted), weekly_totals(new, "track_id", shifted)) and len(asked) == 2
     three = L.refresh(spark, root, new, shifted, weeks)  # stale rules: all weeks
@@ -65,11 +65,11 @@ def test_a_shadow_that_fails_is_never_seen(spark, root):
     rng, cfg = random.Random(2), ChartConfig()
     first = played(rng, range(100, 103))
     old, new = spark.createDataFrame(first, PLAYS), spark.createDataFrame(first + played(rng, [103, 104], 3), PLAYS)
-    one = L.refresh(spark, root, old, cfg)
+    one = L.refresh(spark, root, old, cfg, weeks_a_part=1)
     with pytest.raises(G.InvalidGeneration):  # a week is missing from the changed ones
-        L.refresh(spark, root, new, cfg, L.changed_weeks(old, new, cfg).limit(1))
+        L.refresh(spark, root, new, cfg, L.changed_weeks(old, new, cfg).limit(1), 1)
     assert G.current(spark, root) == one
-    assert L.refresh(spark, root, new, cfg, L.changed_weeks(old, new, cfg)).number == 2
+    assert L.refresh(spark, root, new, cfg, L.changed_weeks(old, new, cfg), 1).number == 2
 
 
 def test_no_generation_and_no_rows(spark, root):
