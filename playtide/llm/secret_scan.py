@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playtide.llm.spans import SPAN, count_of, find_spans, named, overlaps, redacted
+from playtide.llm.spans import SPAN, count_of, find_spans, free_of, named, redacted
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIZE = len(ALPHABET) + 1
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
     body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     based = body.withColumn("base", base_spans(F.col("text")))
     token = find_spans(F.col("text"), TOKEN, "random", 3, F.col("text").rlike("[A-Za-z0-9+/_=-]{16}"))
-    free = based.withColumn("tokens", F.filter(token, lambda s: ~F.exists("base", lambda b: overlaps(s, b))))
+    free = based.withColumn("tokens", free_of(token, F.col("base")))
     scored = free.withColumn("scores", F.transform("tokens", lambda s: best_ratio(s["match"], model["tables"])))
     good = F.filter(
         F.transform("tokens", lambda s, i: F.when((F.get("scores", i) >= MIN_RATIO) & (F.get("scores", i) >= model["cut"] * F.length(s["match"])), s)), lambda s: s.isNotNull()
