@@ -13,21 +13,12 @@ def scored(name: str, text: str) -> None:
 
 
 for _k in ("album", "artist"):
-    scored(f"cross_power_{_k}", f"""
-select c.{_k}_id, cast(sum(p.power) as bigint) as power, count(*) as tracks, rank() over (order by sum(p.power) desc) as place
-from {{scores}} p join (select distinct track_id, {_k}_id from {{cp}}) c on c.track_id = p.entity group by c.{_k}_id""")
     add(f"chart_track_counts_{_k}", f"""
 select c.{_k}_id, count(*) as tracks, min(m.peak) as best_peak, cast(sum(m.weeks) as bigint) as weeks, count(*) filter (where m.peak = 1) as top1, count(*) filter (where m.peak <= 5) as top5,
   count(*) filter (where m.peak <= 10) as top10, cast(sum(m.no1_weeks) as bigint) as no1_weeks from {{sum_track}} m join (select distinct track_id, {_k}_id from {{cp}}) c on c.track_id = m.entity group by c.{_k}_id""")
     add(f"chart_tracks_by_week_{_k}", f"""
 select w.week, c.{_k}_id, count(distinct w.entity) as tracks, min(w.rank) as best from {{w_track}} w join (select distinct week, track_id, {_k}_id from {{cp}}) c on c.week = w.week and c.track_id = w.entity group by w.week, c.{_k}_id""")
 
-scored("chart_honors", """
-select award, entity from (
- select 'power' as award, entity, row_number() over (order by power desc, entity) as n from {scores} union all
- select 'weeks', entity, row_number() over (order by weeks desc, entity) from {scores} union all
- select 'peak', entity, row_number() over (order by peak, weeks_at_peak desc, entity) from {scores} union all
- select 'no1 weeks', entity, row_number() over (order by no1_weeks desc, entity) from {scores}) x where n = 1""")
 scored("hall_of_fame", "select entity, power, power_rank, peak, weeks, no1_weeks from {scores} where power_rank <= 50 and peak <= 10")
 
 for _k in KINDS:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from playtide.operators import charts as C
+from playtide.operators.ranking import ranked_by
 from playtide.operators.scans import running_max
 from playtide.plans.base import query
-from playtide.plans.charts import CHART_SQL, KINDS, frames, weekly
+from playtide.plans.charts import CHART_SQL, KINDS, _score_sql, frames, weekly
 
 
 def weeks_so_far(chart: DataFrame) -> DataFrame:
@@ -68,3 +70,36 @@ def record_triple_no1(spark: SparkSession, sf_dir: str) -> DataFrame:
     album = top("album").join(main_artists(f["cp"], "album_id"), F.col("album_id") == F.col("entity")).drop("entity")
     credits = f["cp"].select("track_id", "artist_id").distinct()
     return top("artist").join(album, ["week", "artist_id"]).join(top("track"), "week").join(credits, ["track_id", "artist_id"]).select("week", "artist_id", "track_id", "album_id")
+
+
+def track_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.power_scores(weekly("track")(spark, sf_dir), "track")
+
+
+def cross_power(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Summed power of an album's or artist's tracks, with its rank among all."""
+        people = frames(spark, sf_dir)["cp"].select(F.col("track_id").alias("entity"), f"{kind}_id").distinct()
+        total = track_scores(spark, sf_dir).join(people, "entity").groupBy(f"{kind}_id").agg(F.sum("power").alias("power"), F.count(F.lit(1)).alias("tracks"))
+        return ranked_by(total, "place", "power").select(f"{kind}_id", "power", "tracks", "place")
+
+    return run
+
+
+for _k in ("album", "artist"):
+    query(f"cross_power_{_k}", CHART_SQL + _score_sql("track") + f""" select c.{_k}_id, cast(sum(p.power) as bigint) as power, count(*) as tracks, rank() over (order by sum(p.power) desc) as place
+from scores p join (select distinct track_id, {_k}_id from cp) c on c.track_id = p.entity group by c.{_k}_id""")(cross_power(_k))
+
+
+@query("chart_honors", CHART_SQL + _score_sql("track") + """ select award, entity from (
+ select 'power' as award, entity, row_number() over (order by power desc, entity) as n from scores union all
+ select 'weeks', entity, row_number() over (order by weeks desc, entity) from scores union all
+ select 'peak', entity, row_number() over (order by peak, weeks_at_peak desc, entity) from scores union all
+ select 'no1 weeks', entity, row_number() over (order by no1_weeks desc, entity) from scores) x where n = 1""")
+def chart_honors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The track that leads each award, by one pre-aggregated minimum."""
+    orders = {"power": [-F.col("power")], "weeks": [-F.col("weeks")], "peak": [F.col("peak"), -F.col("weeks_at_peak")], "no1 weeks": [-F.col("no1_weeks")]}
+    best = [F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(o)], F.col("entity"))).alias(f"a{n}") for n, o in enumerate(orders.values())]
+    row = track_scores(spark, sf_dir).agg(*best)
+    awards = F.array(*[F.struct(F.lit(a).alias("award"), F.col(f"a{n}.entity").alias("entity")) for n, a in enumerate(orders)])
+    return row.select(F.explode(awards).alias("r")).select("r.*").where("entity is not null")
