@@ -15,7 +15,8 @@ returns_episodes search_bursts release_cycle_half_life import_signed_delta searc
 entity_profile_track change_closure change_contribution_weeks cross_power_artist feed_no1_track feed_record_tied_album wrapped_album_completion wrapped_taste_drivers identity_components search_ngrams
 published_weekly_tracks credits_artist_shares feat_lover_artist period_this_week records_comeback_track records_playback_milestones records_new_year records_skip_storm_album wrapped_listening_age wrapped_personality_label
 change_import_plan change_range_covered record_artist_most_no1_album record_self_replacement_album record_decade_best_track platform_classes chart_power_track
-chart_rows_track entity_ranks_album entity_rank_map_artist entity_top_share journey_milestones""".split()
+chart_rows_track entity_ranks_album entity_rank_map_artist entity_top_share journey_milestones merge_recording_plan merge_composition_plan search_ranked_pages search_index_delta ledger_chart_album change_merge_chain review_year_comparison
+ownership_project_chart import_staged review_diverse_records release_impact cross_power_album chart_honors feed_record_weeks_track record_triple_no1""".split()
 
 
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
