@@ -55,7 +55,7 @@ def common_intervals(exports: DataFrame, who: str) -> DataFrame:
     first, last = F.col("first_day"), F.col("last_day")
     before = own.select(
         who, (F.col("year") + 1).alias("year"), F.greatest(moved(first, 12), moved(first - 1, 12) + 1).alias("_first"), F.greatest(moved(last, 12), moved(last + 1, 12) - 1).alias("_last")
-    )
+    ).where("_first <= _last")  # 29 February alone has no day a year on
     both = own.join(before, [who, "year"]).where((first <= F.col("_last")) & (F.col("_first") <= last))
     shared = both.select(who, "year", F.greatest(first, "_first").alias("first_day"), F.least(last, "_last").alias("last_day"))
     return shared.withColumns({"base_first": moved(F.col("first_day"), -12), "base_last": moved(F.col("last_day"), -12)})

@@ -58,3 +58,10 @@ def test_union_of_intervals(spark):
     rows = [(1, 1, 5), (1, 6, 9), (1, 2, 3), (1, 11, 12), (2, 1, 1), (None, 1, 2)]
     got = sorted(map(tuple, covered(spark.createDataFrame(rows, "who long, first_day long, last_day long"), "who").collect()))
     assert got == [(1, 1, 9), (1, 11, 12), (2, 1, 1)]
+
+
+def test_leap_day_alone_has_no_counterpart(spark):
+    """An export of 29 February only gives the next year no day, however its neighbours are covered."""
+    exports = spark.createDataFrame([(1, day(2000, 2, 29), day(2000, 2, 29)), (1, day(2001, 1, 1), day(2001, 12, 31))], "who long, first_day long, last_day long")
+    plays = spark.createDataFrame([(1, day(2000, 2, 29)), (1, day(2001, 2, 28))], "who long, day long")
+    assert year_comparison(plays, exports, "who").count() == 0
