@@ -11,21 +11,24 @@ from playtide.sources.publish import scratch
 def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """node, component (its smallest node) of undirected ``edges`` (src, dst).
 
-    Each round takes the smallest label among the neighbours, then follows the label's
-    own label, so long chains shorten by doubling.  A round is written to the shared
-    folder and read again: no lineage grows and nothing is gathered on the driver.
+    Each round takes the smallest label among the neighbours, hands it to the root and then
+    follows the label's own label, so a long chain shortens to less than half in a round.
+    A round is written to the shared folder and read again: no lineage grows and nothing is
+    gathered on the driver.  Labels only sink, so an equal sum of them means that none moved.
     """
     both = scratch(edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")).distinct())
     labels = scratch(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+    total = None
     for _ in range(max_rounds):
         near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("component").alias("m"))
         step = labels.join(near, labels.node == near.src).select("node", F.least("component", "m").alias("c"))
         # a node's label may have a smaller label itself; a root hands its new label down as well
         hooks = step.join(labels.select(F.col("node").alias("n"), F.col("component").alias("root")), step.node == F.col("n")).groupBy("root").agg(F.min("c").alias("low"))
         moved = step.join(hooks, step.c == hooks.root, "left").select("node", F.least("c", F.coalesce("low", "c")).alias("component"))
-        nxt = scratch(moved)
-        same = nxt.join(labels, "node").where(nxt.component != labels.component).limit(1).count() == 0
-        labels = nxt
-        if same:
+        moved = scratch(moved)
+        labels = scratch(moved.join(moved.toDF("n", "up"), F.col("component") == F.col("n")).select("node", F.col("up").alias("component")))
+        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if now == total:
             return labels
+        total = now
     raise RuntimeError("components did not settle")
