@@ -1,4 +1,4 @@
-"""Connected components of merge links, for version groups of any size."""
+"""Connected components of merge links, for version groups of any size, and names that begin with others."""
 
 from __future__ import annotations
 
@@ -32,3 +32,23 @@ def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             return labels
         total = now
     raise RuntimeError("components did not settle")
+
+
+def prefix_pairs(rows: DataFrame, key: str, group: str, name: str) -> DataFrame:
+    """``key``, longer: rows of one ``group`` whose ``name`` begins with the shorter name of another, as LIKE reads it.
+
+    Every beginning of a distinct name meets the names that are equal to it, so work grows with
+    the names and the pairs found.  Only names that hold a wildcard (% or _) are compared
+    with all distinct names of their group.
+    """
+    held = rows.where(F.col(group).isNotNull() & F.col(name).isNotNull()).select(key, F.col(group).alias("_g"), F.col(name).alias("_n"))
+    names = scratch(held.select("_g", "_n").distinct())
+    short, wild = names.withColumnRenamed("_n", "_a"), F.col("_a").rlike("[%_]")
+    cuts = names.where("_n <> ''").select("_g", F.col("_n").alias("_b"), F.explode(F.sequence(F.lit(0), F.length("_n") - 1)).alias("_i"))
+    plain = cuts.withColumn("_a", F.substring("_b", F.lit(1), F.col("_i"))).join(short.where(~wild), ["_g", "_a"]).select("_g", "_a", "_b")
+    pattern = F.concat(F.replace("_a", F.lit("\\"), F.lit("\\\\")), F.lit("%"))  # a backslash stands for itself
+    loose = short.where(wild).join(names.withColumnRenamed("_n", "_b"), "_g").where((F.length("_b") > F.length("_a")) & F.like(F.col("_b"), pattern))
+    found = scratch(plain.unionByName(loose.select("_g", "_a", "_b")))
+    first = held.join(found, (held["_n"] == found["_a"]) & (held["_g"] == found["_g"])).select(key, found["_g"], "_b")
+    second = held.select(F.col(key).alias("longer"), F.col("_g"), F.col("_n").alias("_b"))
+    return first.join(second, ["_g", "_b"]).where(F.col(key) != F.col("longer")).select(key, "longer")
