@@ -12,7 +12,10 @@ from playtide.operators import charts as C
 from playtide.operators.ranking import ranked_by
 from playtide.operators.scans import running_max
 from playtide.plans.base import query
-from playtide.plans.charts import CHART_SQL, KINDS, _score_sql, frames, weekly
+from playtide.plans.charts import CHART_SQL, KINDS, _score_sql, weekly
+from playtide.plans.charts import frames as read_frames
+from playtide.plans.charts import written_frames as frames
+from playtide.sources.publish import scratch
 
 
 def weeks_so_far(chart: DataFrame) -> DataFrame:
@@ -68,8 +71,9 @@ def record_triple_no1(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     top = lambda k: f[f"w_{k}"].where("rank = 1").select("week", F.col("entity").alias(f"{k}_id"))
     album = top("album").join(main_artists(f["cp"], "album_id"), F.col("album_id") == F.col("entity")).drop("entity")
-    credits = f["cp"].select("track_id", "artist_id").distinct()
-    return top("artist").join(album, ["week", "artist_id"]).join(top("track"), "week").join(credits, ["track_id", "artist_id"]).select("week", "artist_id", "track_id", "album_id")
+    led = scratch(top("artist").join(album, ["week", "artist_id"]).join(top("track"), "week"))  # a row a week at most
+    credits = f["cp"].select("track_id", "artist_id").join(F.broadcast(led.select("track_id", "artist_id").distinct()), ["track_id", "artist_id"], "left_semi").distinct()
+    return led.join(credits, ["track_id", "artist_id"]).select("week", "artist_id", "track_id", "album_id")
 
 
 def track_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +83,7 @@ def track_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_power(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Summed power of an album's or artist's tracks, with its rank among all."""
-        people = frames(spark, sf_dir)["cp"].select(F.col("track_id").alias("entity"), f"{kind}_id").distinct()
+        people = read_frames(spark, sf_dir)["cp"].select(F.col("track_id").alias("entity"), f"{kind}_id").distinct()
         total = track_scores(spark, sf_dir).join(people, "entity").groupBy(f"{kind}_id").agg(F.sum("power").alias("power"), F.count(F.lit(1)).alias("tracks"))
         return ranked_by(total, "place", "power").select(f"{kind}_id", "power", "tracks", "place")
 
