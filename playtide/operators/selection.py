@@ -6,7 +6,7 @@ one is passed over if its category or its entity has its cap of records, or its
 one.  If fewer than ``least`` are chosen, a second pass allows more of a category.
 
 What a pass takes depends on what was taken before, so an owner's candidates are visited in
-order, many owners in a task.  They are cut down first, without a change of the result: of
+order, one owner after another in a task.  Candidates are dealt by owner once.  They are cut down first, without a change of the result: of
 one category, metric and entity only the best can be taken; of one category and metric
 at most as many are passed over for their entity as entities can be full.  So a task holds a
 bounded number of rows of an owner for each metric, however many candidates there are.
@@ -18,6 +18,7 @@ Ties go by category, metric and candidate.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,9 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Owners visited in one task, about.
-OWNERS = 2_000
-
 
 @dataclass(frozen=True)
 class Caps:
@@ -38,15 +36,16 @@ class Caps:
     entity: int = 1
 
 
-def scaled(candidates: DataFrame) -> DataFrame:
-    """Candidates that take part, with ``scaled``, the share of the owner's best score of the metric."""
+def scaled(candidates: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Candidates that take part, dealt by owner, with ``scaled``, the share of the owner's best score of the metric."""
     sound = candidates.where("owner is not null and metric is not null and score is not null")
-    best = sound.groupBy("owner", "metric").agg(F.max(F.abs("score")).alias("_best"))
-    return sound.join(best, ["owner", "metric"]).withColumn("scaled", F.when(F.col("_best") > 0, F.round(F.col("score") / F.col("_best"), 9)).otherwise(F.lit(0.0))).drop("_best")
+    sound = sound.repartition(tasks, "owner") if tasks else sound.repartition("owner")
+    best = F.max(F.abs("score")).over(Window.partitionBy("owner", "metric"))
+    return sound.withColumn("_best", best).withColumn("scaled", F.when(F.col("_best") > 0, F.round(F.col("score") / F.col("_best"), 9)).otherwise(F.lit(0.0))).drop("_best")
 
 
 def _order() -> list:
-    return [F.desc("scaled"), F.asc("category"), F.asc("metric"), F.asc("candidate")]
+    return [F.desc("scaled"), F.asc_nulls_last("category"), F.asc_nulls_last("metric"), F.asc_nulls_last("candidate")]
 
 
 def eligible(rows: DataFrame, caps: Caps) -> DataFrame:
@@ -57,15 +56,15 @@ def eligible(rows: DataFrame, caps: Caps) -> DataFrame:
     return kept.withColumn("_place", place("category", "metric")).where((F.col("_place") <= caps.most // caps.entity + 2) | F.col("leads")).drop("_same", "_place")
 
 
-def choose(rows: pd.DataFrame, caps: Caps) -> list[str]:
-    """Candidates of one owner in the order in which they are taken; ``rows`` by score."""
+def choose(rows: list[tuple], caps: Caps) -> list[str]:
+    """Candidates of one owner in the order in which they are taken; ``rows`` (candidate, category, narrative, metric, entity, leads) by score."""
     taken: list[str] = []
     per_category: Counter = Counter()
     per_entity: Counter = Counter()
     metrics: set[str] = set()
 
-    def visit(part: pd.DataFrame, cap: int) -> None:
-        for c, category, metric, entity in zip(part["candidate"], part["category"], part["metric"], part["entity"], strict=True):
+    def visit(part: list[tuple], cap: int) -> None:
+        for c, category, _, metric, entity, _ in part:
             if len(taken) >= caps.most:
                 return
             if per_category[category] >= cap or metric in metrics or (entity is not None and per_entity[entity] >= caps.entity):
@@ -76,27 +75,35 @@ def choose(rows: pd.DataFrame, caps: Caps) -> list[str]:
             if entity is not None:
                 per_entity[entity] += 1
 
-    visit(rows[rows["leads"]].sort_values("narrative", kind="stable"), caps.category)
+    visit(sorted((r for r in rows if r[5]), key=lambda r: (r[2] is None, r[2] or "")), caps.category)
     visit(rows, caps.category)
     if len(taken) < caps.least:
         visit(rows, caps.relaxed)
     return taken
 
 
-def diverse_selection(candidates: DataFrame, caps: Caps | None = None) -> DataFrame:
-    """owner, place, candidate of ``candidates`` (owner long, candidate, category, narrative, metric, entity strings, score)."""
+def diverse_selection(candidates: DataFrame, caps: Caps | None = None, tasks: int | None = None) -> DataFrame:
+    """owner, place, candidate of ``candidates`` (owner long, candidate, category, narrative, metric, entity strings, score), dealt to ``tasks`` tasks."""
     caps = caps or Caps()
 
-    def pick(bucket: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        ordered = bucket.sort_values(["scaled", "category", "metric", "candidate"], ascending=[False, True, True, True], kind="stable")
-        ordered["entity"] = ordered["entity"].astype(object).where(ordered["entity"].notna(), None)
-        for owner, rows in ordered.groupby("owner", sort=False):
-            out += [(owner, k, c) for k, c in enumerate(choose(rows, caps), 1)]
-        return pd.DataFrame(out, columns=["owner", "place", "candidate"])
-
-    few = eligible(scaled(candidates), caps)
-    owners = few.select(F.approx_count_distinct("owner")).first()[0]
-    dealt = few.withColumn("_bucket", F.pmod(F.xxhash64("owner"), F.lit(1 + owners // OWNERS)))
-    columns = ["owner", "candidate", "category", "narrative", "metric", "entity", "scaled", "leads"]
-    return dealt.groupBy("_bucket").applyInPandas(lambda df: pick(df[columns]), "owner long, place int, candidate string")
+    columns = ["candidate", "category", "narrative", "metric", "entity", "leads"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        last = None
+
+        def flush() -> list[tuple]:
+            return [(last, k, c) for k, c in enumerate(choose(held, caps), 1)]
+
+        for pdf in batches:
+            out = []
+            for owner, *row in zip(pdf["owner"].tolist(), *(pdf[c].tolist() for c in columns), strict=True):
+                if owner != last:
+                    out += flush()
+                    held, last = [], owner
+                held.append(tuple(row))
+            yield pd.DataFrame(out, columns=["owner", "place", "candidate"]).astype({"owner": "int64", "place": "int32"})
+        yield pd.DataFrame(flush(), columns=["owner", "place", "candidate"]).astype({"owner": "int64", "place": "int32"})
+
+    few = eligible(scaled(candidates, tasks), caps)  # still dealt by owner
+    return few.sortWithinPartitions("owner", *_order()).select("owner", *columns).mapInPandas(run, "owner long, place int, candidate string")

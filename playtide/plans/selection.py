@@ -12,6 +12,8 @@ from playtide.plans.base import query
 from playtide.sources.publish import scratch
 
 _CAPS = Caps()
+#: Orders whose candidates one task visits, about.
+ORDERS_A_TASK = 20_000
 #: Candidates: one SQL text that both engines read over ``ords`` and ``lines``; the choice is written twice.
 _CANDIDATES = """
 select who as owner, concat('order:', cast(what as varchar(20))) as candidate, 'market' as category, 'peak' as narrative, 'large order' as metric, priority as entity, cast(price as double) as score from {ords}
@@ -52,5 +54,6 @@ last as (select owner, arg_max(took, k) as took from walk group by owner)
 select owner, unnest(range(1, len(took) + 1))::int as place, unnest(list_transform(took, lambda t: t.c)) as candidate from last""")
 def review_diverse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records chosen for every customer."""
-    candidates = scratch(spark.sql(_CANDIDATES, **frames(spark, sf_dir)))
-    return diverse_selection(candidates, _CAPS)
+    given = frames(spark, sf_dir)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), given["ords"].count() // ORDERS_A_TASK)
+    return diverse_selection(spark.sql(_CANDIDATES, **given | {"lines": scratch(given["lines"])}), _CAPS, tasks)
