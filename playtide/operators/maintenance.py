@@ -23,7 +23,7 @@ from playtide.sources import generations as G
 from playtide.sources.publish import scratch
 
 SHARDS, BUCKETS = 32, 64
-PARAMS = {"index": "search", "version": 1, "shards": SHARDS, "buckets": BUCKETS}
+PARAMS = {"index": "search", "version": 2, "shards": SHARDS, "buckets": BUCKETS}
 
 
 def shard(entity: str = "entity") -> Column:

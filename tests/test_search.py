@@ -84,3 +84,14 @@ def test_empty_index(spark):
 @pytest.mark.parametrize(("raw", "form"), [("  Ａｂｃ　Ⅻ ", "abc xii"), ("“x” — ‘y’…", "\"x\" - 'y'..."), ("Straße", "strasse"), (None, ""), ("・ﾃｽﾄ", "·テスト")])
 def test_search_form(raw, form):
     assert normalize_text(raw) == form
+
+
+def test_matches_are_not_written(spark, monkeypatch):
+    """Every query matches every entity, some by several words and variants; only pages and probes are written."""
+    index = se.build_index(spark.createDataFrame([(i, "track", "common commons", f"name{i % 7} common", "the common", i) for i in range(200)], SCHEMA))
+    written, scratch = [], se.scratch
+    monkeypatch.setattr(se, "scratch", lambda df: written.append(scratch(df)) or written[-1])
+    queries = [("inside", ["commo"]), ("words", ["common the", "the common"]), ("joint", ["n common"]), ("short", ["co"]), ("again", ["common", "commons"]), ("lost", ["comnon"])]
+    got = se.search(index, spark.createDataFrame(queries, "query_id string, variants array<string>"), 3).collect()
+    assert sorted({(r.query_id, r.total) for r in got}) == sorted((q, 200) for q, _ in queries) and len(got) == 18
+    assert sum(t.count() for t in written) < 200
