@@ -17,7 +17,8 @@ pairs of an entity's words; they stand inside a field where their rarest joint d
 ways grows with queries times entities; the fields verify the rest.  A query without any
 match falls back to fields and words within an edit distance of 1, 2 or 3 by its length: k
 edits spoil at most 3k pieces of three characters (of a text between two blanks on each side), so
-a distinct word in reach shares one of the query's 3k + 1 rarest pieces, at most k places away.
+a distinct word in reach shares one of the query's 3k + 1 rarest pieces.  Shifted by d places in a word
+longer by e, it takes |d| edits before and |e - d| behind, so words are met by piece, place and length.
 
 A match may be met in several ways, by several words or variants.  The fields tell which way is the
 first, and only that one counts it.  So matches are never gathered to be told apart or written:
@@ -230,17 +231,24 @@ def allowed_edits(text: Column) -> Column:
     return F.when(n <= 5, 1).when(n <= 12, 2).otherwise(3)
 
 
+def _spots(at: Column, size: Column, k: Column) -> Column:
+    """(place, size): where an untouched piece at ``at`` of a text of ``size`` may stand in words of which sizes; a shift costs edits before it, the rest of the difference edits behind it."""
+    left = lambda d: k - F.abs(d)
+    return F.flatten(F.transform(F.sequence(-k, k), lambda d: F.transform(F.sequence(d - left(d), d + left(d)), lambda e: F.struct((at + d).alias("place"), (size + e).alias("size")))))
+
+
 def fuzzy_matches(index: SearchIndex, queries: DataFrame) -> DataFrame:
     """(query_id, entity, distance, field, kind, label, popularity) of ``queries`` (query_id, text in search form): entities with a field or word within the allowed edits."""
     able = scratch(queries.where(F.length(F.translate("text", " ", "")) >= 4).withColumn("k", allowed_edits(F.col("text"))))
     lengths = able.select(F.explode(F.sequence(F.length("text") - F.col("k"), F.length("text") + F.col("k"))).alias("_n")).distinct()
     words = index.counts.where("kind = 'word'").select(F.col("key").alias("word")).join(lengths, F.length("word") == F.col("_n"), "left_semi")
-    held = scratch(words.select("word", F.explode(_pieces(padded(F.col("word")), 3)).alias("p")).select("p.key", "p.place", "word"))
+    held = scratch(words.select("word", F.explode(_pieces(padded(F.col("word")), 3)).alias("p")).select("p.key", "p.place", F.length("word").alias("size"), "word"))
     pieces = able.select("query_id", "text", "k", F.explode(_pieces(padded(F.col("text")), 3)).alias("p")).select("query_id", "text", "k", "p.key", F.col("p.place").alias("at"))
     counted = pieces.join(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("n", "key", "at"))
     probes = counted.withColumn("_order", order).where((F.col("_order") <= 3 * F.col("k") + 1) & (F.col("n") > 0)).drop("_order", "n")
-    near = probes.join(held, "key").where((F.abs(F.col("at") - F.col("place")) <= F.col("k")) & (F.abs(F.length("text") - F.length("word")) <= F.col("k")))
+    spots = probes.withColumn("s", F.explode(_spots(F.col("at"), F.length("text"), F.col("k")))).select("query_id", "text", "k", "key", "s.place", "s.size")
+    near = spots.join(held, ["key", "place", "size"])
     within = near.select("query_id", "text", "k", F.col("word").alias("key")).distinct().where(F.expr("levenshtein(text, key, k)") >= 0)
     rows = index.entities.withColumn("w", F.explode(_fuzzy_words())).select(F.col("w.word").alias("key"), F.col("w.field").alias("at"), *index.entities.columns)
     met = _met(scratch(within), rows, index, "word").withColumn("words", _fuzzy_words())

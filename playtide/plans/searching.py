@@ -17,7 +17,9 @@ from playtide.sources.publish import scratch
 
 
 def _words() -> Column:
-    return F.coalesce(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.array().cast("array<string>"))
+    """The first six words; the rest of the text is not looked at."""
+    begin = F.regexp_extract("text", "^(?:[^A-Za-z]*+[A-Za-z]++){0,6}+", 0)
+    return F.coalesce(F.regexp_extract_all(begin, F.lit("[A-Za-z]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def entities(docs: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from playtide.functions.normalize import normalize_text
 from playtide.operators import search as se
+from playtide.plans import searching
 
 SCHEMA = "entity long, kind string, label string, secondary string, alias string, popularity long"
 
@@ -95,3 +97,21 @@ def test_matches_are_not_written(spark, monkeypatch):
     got = se.search(index, spark.createDataFrame(queries, "query_id string, variants array<string>"), 3).collect()
     assert sorted({(r.query_id, r.total) for r in got}) == sorted((q, 200) for q, _ in queries) and len(got) == 18
     assert sum(t.count() for t in written) < 200
+
+
+def test_fallback_meets_words_by_place_and_length(spark):
+    """A piece in reach of k edits is met at its places and lengths only, not wherever the piece occurs."""
+    spots = se._spots(F.lit(4), F.lit(9), F.lit(2))
+    got = {tuple(x) for x in spark.range(1).select(spots.alias("s")).first().s}
+    assert got == {(4 + d, 9 + e) for d in range(-2, 3) for e in range(-2, 3) if abs(d) + abs(e - d) <= 2}
+    index = se.build_index(spark.createDataFrame([(i, "track", w, None, None, 0) for i, w in enumerate(["abxcdef", "bcdef", "xyabcdef", "abcdefghij"])], SCHEMA))
+    found = se.fuzzy_matches(index, spark.createDataFrame([("q", "abcdef")], "query_id string, text string"))
+    assert sorted((r.entity, r.distance) for r in found.collect()) == [(0, 1), (1, 1), (2, 2)]
+
+
+def test_first_words_of_a_long_text(spark):
+    """Only the beginning of a text is cut into words; the same six as of the whole text."""
+    texts = ["", None, "12 ..", "one", " a-b2c\nd  é e;f g h", "x" * 5000 + " y z", "a b c d e f " + "g h " * 50_000]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = F.coalesce(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 6), F.array().cast("array<string>"))
+    assert all(r.a == r.b for r in docs.select(searching._words().alias("a"), whole.alias("b")).collect())
