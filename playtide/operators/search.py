@@ -248,7 +248,8 @@ def fuzzy_matches(index: SearchIndex, queries: DataFrame) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("n", "key", "at"))
     probes = counted.withColumn("_order", order).where((F.col("_order") <= 3 * F.col("k") + 1) & (F.col("n") > 0)).drop("_order", "n")
     spots = probes.withColumn("s", F.explode(_spots(F.col("at"), F.length("text"), F.col("k")))).select("query_id", "text", "k", "key", "s.place", "s.size")
-    near = spots.join(held, ["key", "place", "size"])
+    # the optimizer takes the spots for as few as the probes and would broadcast them
+    near = spots.join(held.hint("merge"), ["key", "place", "size"])
     within = near.select("query_id", "text", "k", F.col("word").alias("key")).distinct().where(F.expr("levenshtein(text, key, k)") >= 0)
     rows = index.entities.withColumn("w", F.explode(_fuzzy_words())).select(F.col("w.word").alias("key"), F.col("w.field").alias("at"), *index.entities.columns)
     met = _met(scratch(within), rows, index, "word").withColumn("words", _fuzzy_words())

@@ -115,3 +115,20 @@ def test_first_words_of_a_long_text(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     whole = F.coalesce(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 6), F.array().cast("array<string>"))
     assert all(r.a == r.b for r in docs.select(searching._words().alias("a"), whole.alias("b")).collect())
+
+
+def test_fallback_broadcasts_no_spots(spark):
+    """Each probe stands for many places and lengths, which the optimizer does not see; they are not broadcast."""
+    index = se.build_index(spark.createDataFrame([(1, "track", "abcdef", None, None, 0)], SCHEMA))
+    joins = []
+    join = type(index.entities).join
+
+    def spy(self, other, on=None, how=None):
+        joins.append((on, out := join(self, other, on, how)))
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(index.entities), "join", spy)
+        se.fuzzy_matches(index, spark.createDataFrame([("q", "abcdxf")], "query_id string, text string"))
+    (near,) = [out for on, out in joins if isinstance(on, list) and on == ["key", "place", "size"]]
+    assert "SortMergeJoin" in near._jdf.queryExecution().sparkPlan().toString()
