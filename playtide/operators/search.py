@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from playtide.functions.normalize import normalized
-from playtide.sources.publish import scratch
+from playtide.sources.publish import scratch, side
 
 FIELDS = ("label", "secondary", "alias")
 POSTING_ROWS = 100_000
@@ -53,6 +53,8 @@ JOINT = (1, 2, 4)
 STEMS = range(3, 9)
 #: So few keys that are split may be broadcast.
 SPLIT_KEYS = 50_000
+#: So few probes or entities may be broadcast; what is exploded or read from a larger table is shuffled, as files say little of its size.
+PROBES = 50_000
 #: Tier of the fallback, beyond every variant's.
 FUZZY = 1_000
 
@@ -138,16 +140,16 @@ def _met(probes: DataFrame, rows: DataFrame, index: SearchIndex, kind: str) -> D
     split = index.counts.where((F.col("kind") == kind) & (F.col("n") > POSTING_ROWS)).select("key", F.ceil(F.col("n") / POSTING_ROWS).cast("long").alias("parts"))
     few = split.limit(SPLIT_KEYS + 1).count()  # each stands for many postings
     if not few:
-        return probes.join(rows, "key")
-    split = F.broadcast(split) if few <= SPLIT_KEYS else split
+        return side(probes, PROBES).join(rows, "key")
+    split = F.broadcast(split) if few <= SPLIT_KEYS else split.hint("merge")
     dealt = rows.join(split, "key", "left").withColumn("part", F.pmod(F.xxhash64("entity"), F.coalesce("parts", F.lit(1)))).drop("parts")
     visits = probes.join(split, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return visits.join(dealt, ["key", "part"])
+    return visits.hint("merge").join(dealt, ["key", "part"])
 
 
 def _counted(keys: DataFrame, index: SearchIndex, kind: str) -> DataFrame:
     """``keys`` (key, ...) with the number of their postings, 0 where they do not occur."""
-    return keys.join(index.counts.where(F.col("kind") == kind).select("key", "n"), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return keys.join(index.counts.where(F.col("kind") == kind).select("key", "n").hint("merge"), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def _all_words(text: Column) -> Column:
@@ -174,7 +176,7 @@ def _word_probes(single: DataFrame, index: SearchIndex) -> DataFrame:
     stems = lambda w: F.array_distinct(F.flatten(F.array(*[F.transform(_pieces(w, n), lambda p: p["key"]) for n in STEMS])))
     words = index.counts.where("kind = 'token'").select(F.col("key").alias("_word"), F.explode(stems(F.col("key"))).alias("_stem"))
     texts = single.withColumn("_stem", F.substring("text", 1, max(STEMS)))
-    return texts.join(words, "_stem").where(F.contains("_word", F.col("text"))).withColumnRenamed("_word", "key").drop("_stem")
+    return side(texts, PROBES).join(words, "_stem").where(F.contains("_word", F.col("text"))).withColumnRenamed("_word", "key").drop("_stem")
 
 
 def _pair(words: Column) -> Column:
@@ -204,8 +206,8 @@ def ranked_matches(index: SearchIndex, queries: DataFrame) -> DataFrame:
 
     counted = _counted(asked.where(several).select(*probe, F.explode("words").alias("key")), index, "token")
     rarest = counted.groupBy("query_id", "variant").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("r")).where("r[0].n > 0")
-    pairs = rarest.select("query_id", "variant", _pair(F.array(F.col("r")[0]["key"], F.col("r")[1]["key"])).alias("key")).join(asked.select(*probe), ["query_id", "variant"])
-    by_pair = scratch(pairs).join(_pair_rows(index.entities), "key").select("entity", *probe, F.lit(False).alias("inside"))
+    pairs = rarest.select("query_id", "variant", _pair(F.array(F.col("r")[0]["key"], F.col("r")[1]["key"])).alias("key")).join(asked.select(*probe).hint("merge"), ["query_id", "variant"])
+    by_pair = side(scratch(pairs), PROBES).join(_pair_rows(index.entities), "key").select("entity", *probe, F.lit(False).alias("inside"))
 
     size = lambda w: F.when(F.length(w) >= 4, 4).when(F.length(w) >= 2, 2).otherwise(1)
     own = F.split("text", " ")
@@ -217,7 +219,7 @@ def ranked_matches(index: SearchIndex, queries: DataFrame) -> DataFrame:
     postings = lambda kind: index.postings.where(F.col("kind") == kind).select("key", "entity")
     by_joint = _met(scratch(least), postings("joint"), index, "joint").select("entity", *probe, F.lit(True).alias("inside"))
     short = _met(asked.where(F.length("text") < 3).select(F.col("text").alias("key"), *probe), postings("gram"), index, "gram").select("entity", *probe, F.lit(False).alias("inside"))
-    thin = by_pair.union(by_joint).union(short).join(index.entities, "entity")
+    thin = by_pair.union(by_joint).union(short).join(side(index.entities, PROBES), "entity")
     thin = thin.where(F.when(F.col("inside"), ~_all_words(F.col("text"))).when(F.length("text") >= 3, _all_words(F.col("text"))).otherwise(True))
 
     columns = [*probe, "entity", "kind", "label", "secondary", "alias", "popularity"]
@@ -269,9 +271,9 @@ def search(index: SearchIndex, queries: DataFrame, page: int = PAGE) -> DataFram
     ranked = ranked_matches(index, queries)
     totals = scratch(count(ranked))
     lost = queries.select("query_id", normalized(F.get("variants", F.lit(0))).alias("text"))
-    lost = lost.where("text <> ''").join(totals.select("query_id").distinct(), "query_id", "left_anti")
+    lost = lost.where("text <> ''").join(totals.select("query_id").distinct().hint("merge"), "query_id", "left_anti")
     fuzzy = fuzzy_matches(index, scratch(lost))
     near = fuzzy.select("query_id", "entity", (FUZZY + F.col("distance")).alias("tier"), "kind", "label", F.lit(0).cast("long").alias("popularity"))
     place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("tier", F.desc("popularity"), "label", "entity"))
     top = scratch(ranked.union(near).withColumn("place", place).where(F.col("place") <= page).drop("label", "popularity"))
-    return top.join(totals.union(count(near)), ["query_id", "kind"]).select("query_id", "kind", "place", "entity", "tier", "total")
+    return top.join(totals.union(count(near)).hint("merge"), ["query_id", "kind"]).select("query_id", "kind", "place", "entity", "tier", "total")
