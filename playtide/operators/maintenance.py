@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from playtide.operators import search as S
 from playtide.sources import generations as G
-from playtide.sources.publish import scratch
+from playtide.sources.publish import scratch, side
 
 SHARDS, BUCKETS = 32, 64
 PARAMS = {"index": "search", "version": 2, "shards": SHARDS, "buckets": BUCKETS}
@@ -53,6 +53,7 @@ def apply_delta(spark: SparkSession, now: G.Generation, changed: DataFrame, dele
     fresh = scratch(S.entity_rows(changed))
     touched = scratch(fresh.select("entity").union(deleted.where("entity is not null").select("entity")).distinct())
     shards = [r[0] for r in touched.select(shard()).distinct().collect()]  # SHARDS at most
+    touched = side(touched)
     old_entities, old_postings = (now.read(spark, t, shards).drop("shard") for t in ("entities", "postings"))
     new_postings = scratch(S.posting_rows(fresh))
     out_postings = old_postings.join(touched, "entity", "left_semi")

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from playtide.operators import habits as H
+from playtide.operators import maintenance
 from playtide.operators import panels as P
 from playtide.operators.selection import diverse_selection
 from playtide.plans import QUERIES
@@ -73,3 +74,15 @@ def test_releases_and_their_spans_are_not_broadcast(spark):
     assert "Broadcast" not in plan(panel)
     text = plan(P.release_impact(panel, releases, plays))
     assert "BroadcastHashJoin" not in text and text.count("BroadcastExchange") == 1  # the span of all days
+
+
+def test_touched_entities_are_shuffled_beyond_the_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "track", f"name{i}", None, None, 0) for i in range(50)], "entity long, kind string, label string, secondary string, alias string, popularity long")
+    now = maintenance.publish_index(spark, f"{shared_dir(spark)}/index/{uuid.uuid4().hex}", docs, "old")
+    monkeypatch.setattr(publish_, "SIDE_ROWS", 3, raising=False)
+    joins, join = [], type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, other, on=None, how=None: joins.append((on, join(self, other, on, how))) or joins[-1][1])
+    now = maintenance.apply_delta(spark, now, docs.where("entity < 5"), docs.where("entity > 45").select("entity"), "new")
+    tops = [next(x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x) for on, out in joins if on == "entity"]
+    assert len(tops) == 3 and all("SortMergeJoin" in x for x in tops)
+    assert sorted(r.entity for r in now.read(spark, "entities").collect()) == list(range(46))
