@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from playtide.operators import habits as H
 from playtide.operators import maintenance
 from playtide.operators import panels as P
+from playtide.operators import search as se
 from playtide.operators.selection import diverse_selection
 from playtide.plans import QUERIES
 from playtide.sources import publish as publish_
@@ -63,7 +64,7 @@ def test_distinct_counts_expand_no_rows(spark, small):
 
 def test_only_counted_sides_are_broadcast(spark, small, monkeypatch):
     assert plan(chart_plays(spark, small)).count("BroadcastExchange") == 2
-    monkeypatch.setattr(publish_, "SIDE_ROWS", 10)
+    monkeypatch.setattr(publish_, "SIDE_ROWS", 10, raising=False)
     assert "Broadcast" not in plan(chart_plays(spark, small))
 
 
@@ -86,3 +87,19 @@ def test_touched_entities_are_shuffled_beyond_the_bound(spark, monkeypatch):
     tops = [next(x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x) for on, out in joins if on == "entity"]
     assert len(tops) == 3 and all("SortMergeJoin" in x for x in tops)
     assert sorted(r.entity for r in now.read(spark, "entities").collect()) == list(range(46))
+
+
+def test_sides_beyond_the_bound_are_shuffled(spark, monkeypatch):
+    """A compressed file says little of the rows that are exploded from it: only counted sides are broadcast."""
+    monkeypatch.setattr(se, "PROBES", 0, raising=False)
+    index = se.build_index(spark.createDataFrame([(1, "track", "abcdef ghi", "jkl", "m", 0), (2, "track", "abcdef", None, "m", 0)], "entity long, kind string, label string, secondary string, alias string, popularity long"))
+    queries = se.scratch(spark.createDataFrame([("abcdxf", ["abcdxf"]), ("abcd", ["abcd"]), ("ghi abcdef", ["ghi abcdef", "abcdef ghi"]), ("f gh", ["f gh"]), ("a", ["a"])], "query_id string, variants array<string>"))
+    joins, join = [], type(index.entities).join
+    monkeypatch.setattr(type(index.entities), "join", lambda self, other, on=None, how=None: joins.append((on, join(self, other, on, how))) or joins[-1][1])
+    got = se.search(index, queries)
+    monkeypatch.undo()
+    top = [(on, next(x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x)) for on, out in joins if isinstance(on, (str, list))]
+    # the numbers of the pieces of three characters are few, whatever the words
+    broadcast = [on for on, text in top if "SortMergeJoin" not in text]
+    assert len(top) >= 12 and broadcast == ["key"] * len(broadcast) and len(broadcast) <= 1
+    assert sorted((r.query_id, r.entity, r.tier) for r in got.collect()) == [("a", 1, 1), ("a", 2, 1), ("abcd", 1, 1), ("abcd", 2, 1), ("abcdxf", 1, 1001), ("abcdxf", 2, 1001), ("f gh", 1, 4), ("ghi abcdef", 1, 2)]
